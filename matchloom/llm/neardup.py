@@ -9,6 +9,8 @@ members is also a candidate of the region's smallest document.
 Candidates become links only after their whole sets have been compared, in two rounds. The first round compares a star of
 likely pairs in each region and joins them into components; the second compares every remaining likely pair whose ends are
 in different components. So a group of n copies costs about n comparisons, and no link is left out for being one of many.
+Deep prefixes lose a document whose only link leads into a large group of near copies. So where one component holds half
+of a crowded region, every other document there is compared with all of that component's members, in blocks.
 Components come from minimum labels with pointer jumping over staged tables; nothing is collected.
 """
 
@@ -27,7 +29,9 @@ WORDS = 5
 VALUES = 128
 TREES = 16
 DEPTHS = (3, 6, 10, 18, 32)
-CROWD = 64
+CROWD = 192
+#: Members and strays in a block of the last step.
+MEMBERS, STRAYS = 2048, 512
 #: Of 128 equal signature values; a pair at 0.75 falls below with probability of about 1e-7.
 LIKELY = 72
 
@@ -90,8 +94,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n long, same binary, sig binary", setup)
 
 
-def _regions(reps: DataFrame) -> DataFrame:
-    """(region, level, first, size, rep): each representative under the regions of the forest that it shares with others."""
+def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, first, rep): each representative under the regions of the forest that it shares with others; and the crowded ones at the first depth."""
 
     def roots():
         def one(rep, sig):
@@ -113,6 +117,7 @@ def _regions(reps: DataFrame) -> DataFrame:
 
     level = stage(counted(map_rows(reps.select("rep", "sig"), "k0 long, tree int, rep long", roots), "k0"), "roots")
     found = [level.where(F.col("size") <= CROWD).select(F.col("k0").alias("region"), F.lit(None).cast("long").alias("first"), "rep")]
+    full = level.where(F.col("size") > CROWD).select(F.col("k0").alias("region"), "size", "rep")
     crowded = level.where(F.col("size") > CROWD).join(reps.select("rep", "sig"), "rep").select("rep", "tree", "sig")
     rows = map_rows(crowded, "rep long, " + ", ".join(f"k{i} long" for i in range(1, len(DEPTHS))), deeper)
     rows = stage(rows, "crowded")
@@ -130,7 +135,7 @@ def _regions(reps: DataFrame) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out
+    return out, full
 
 
 def _by_region(rows: DataFrame, schema: str, fn) -> DataFrame:
@@ -235,6 +240,57 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more links (a, b)."""
+    links = stage(links, "links")
+    if links.isEmpty():
+        return labels
+    ends = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    for x, end in zip("ab", ends):
+        links = links.join(end, x, "left")
+    return components(links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).union(labels.select("node", "label")))
+
+
+def _strays(full: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of documents in crowded regions with members of the component that holds at least half of the region."""
+    named = full.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = stage(named.select("region", "size", "rep", "label"), "named")
+    shares = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("2 * n >= size")
+    main = stage(shares.groupBy("region").agg(F.min("label").alias("main")), "main")
+    stray = stage(named.join(main, "region").where("label <> main").select("main", "rep").distinct(), "stray")
+    sizes = labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("members"))
+    sizes = stage(stray.groupBy("main").agg(F.count(F.lit(1)).alias("strays")).join(sizes, "main"), "sizes")
+    chunks, blocks = F.ceil(F.col("members") / MEMBERS).cast("int"), F.ceil(F.col("strays") / STRAYS).cast("int")
+    deal = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    members = labels.select(F.col("label").alias("main"), F.col("node").alias("rep")).join(sizes, "main").select("main", "rep", deal(chunks).alias("chunk"), each(blocks).alias("block"))
+    strays = stray.join(sizes, "main").select("main", "rep", deal(blocks).alias("block"), each(chunks).alias("chunk"))
+    cells = ("main", "chunk", "block")
+    left, right = (x.join(sets, "rep").select(*(F.col(c).alias(f"{at}_{c}") for c in (*cells, "rep", "set", "sig"))) for x, at in ((members, "own"), (strays, "other")))
+    left, right = left.groupBy(*(f"own_{c}" for c in cells)), right.groupBy(*(f"other_{c}" for c in cells))
+
+    def cell(own: pa.Table, others: pa.Table) -> pa.Table:
+        a: list[int] = []
+        b: list[int] = []
+        if own.num_rows and others.num_rows:
+            sigs = np.frombuffer(b"".join(own.column("own_sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+            ids, data = own.column("own_rep").to_pylist(), own.column("own_set")
+            for rep, sig, raw in zip(others.column("other_rep").to_pylist(), others.column("other_sig").to_pylist(), others.column("other_set").to_pylist()):
+                equal, x = (sigs == np.frombuffer(sig, np.uint16)).sum(axis=1), np.frombuffer(raw, np.uint64)
+                for i in np.argsort(-equal, kind="stable"):
+                    if equal[i] < LIKELY:
+                        break
+                    y = np.frombuffer(data[int(i)].as_py(), np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= 75 * max(len(x), len(y)) else 0
+                    if 100 * both >= 75 * (len(x) + len(y) - both):
+                        a.append(rep)
+                        b.append(ids[int(i)])
+                        break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.cogroup(right).applyInArrow(cell, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest linked doc_id), kept.
 
@@ -246,11 +302,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = marks.where("same is not null and doc_id is not null")
     reps = known.groupBy("same").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select("same", F.col("x.doc_id").alias("rep"), "x.n", "x.sig")
     reps = stage(reps, "reps")
-    regions = _regions(reps).join(reps.select("rep", "n", "sig"), "rep").select("region", "first", "rep", "n", "sig")
+    regions, full = _regions(reps)
+    regions = regions.join(reps.select("rep", "n", "sig"), "rep").select("region", "first", "rep", "n", "sig")
     regions = stage(regions, "regions")
     crowd = regions.where("first is not null and first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     tried = stage(_by_region(regions.drop("first"), "a long, b long", _stars).union(crowd).distinct(), "pairs")
-    ends = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
+    ends = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).union(full.select("rep")).distinct()
 
     def setup():
         return lambda doc_id, text: [(doc_id, shingles(text).tobytes())]
@@ -262,12 +319,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = regions.drop("first").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     more = _by_region(named.select("region", "rep", "n", "sig", "label"), "a long, b long", _between).distinct().join(tried, ["a", "b"], "left_anti")
     late = stage(_links(stage(more, "more"), sets), "late")
-    if not late.isEmpty():
-        name = first.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        other = first.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        bridged = late.join(name, "a", "left").join(other, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        over = components(bridged.union(first.select("node", "label")))
-        first = over
+    first = _joined(first, late)
+    first = _joined(first, _strays(full, first, sets.join(reps.select("rep", "sig"), "rep")))
     same = reps.select("same", "rep")
     out = marks.select("doc_id", "n", "same").join(same, "same", "left")
     out = out.join(first.select(F.col("node").alias("rep"), "label"), "rep", "left")
