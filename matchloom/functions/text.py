@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_WS = r"[\s\x1c-\x1f]"
-_LINE = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: White space of Unicode, with the separators U+001C to U+001F.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def let(c: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end, all of Unicode's and the separators U+001C to U+001F."""
-    return F.regexp_replace(c, rf"(?U)\A{_WS}+|{_WS}+\z", "")
+    """Without white space at either end."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(c, rf"(?U){_WS}+", " "))
+    return strip(F.regexp_replace(c, f"{_WS}+", " "))
 
 
 def lines(c: Column) -> Column:
@@ -24,18 +31,24 @@ def lines(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Non-blank pieces between white space that follows ``.``, ``!`` or ``?``, stripped."""
-    return F.filter(F.transform(F.split(c, rf"(?U)(?<=[.!?]){_WS}+"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, f"(?<=[.!?]){_WS}+"), strip), lambda s: s != "")
+
+
+def section_split(c: Column, markers: list[str]) -> Column:
+    """Struct of main and rest: what is before and after the first line that contains a marker; the line itself goes.
+
+    Without one, both are the whole text. An empty second part is "None".
+    """
 
+    def parted(parts: Column) -> Column:
+        at = F.array_position(F.transform(parts, lambda line: _any([F.contains(line, F.lit(m)) for m in markers])), F.lit(True)).cast("int")
+        return let(at, lambda i: F.when(i > 0, pair(F.slice(parts, F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice(parts, i + 1, F.size(parts)))).otherwise(whole(strip(c))))
 
-def section_split(c: Column, markers: list[str]) -> tuple[Column, Column]:
-    """(before, after) the first line that contains a marker; the line itself goes. Without one, both are the whole text. An empty second part is "None"."""
-    parts = lines(c)
-    marked = F.transform(parts, lambda line: _any([F.contains(line, F.lit(m)) for m in markers]))
-    at = F.array_position(marked, F.lit(True)).cast("int")
-    head = strip(F.array_join(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0))), "\n"))
-    tail = strip(F.array_join(F.slice(parts, F.greatest(at + 1, F.lit(1)), F.size(parts)), "\n"))
     some = lambda x: F.when(x == "", F.lit("None")).otherwise(x)
-    return F.when(at == 0, strip(c)).otherwise(head), F.when(at == 0, some(strip(c))).otherwise(some(tail))
+    joined = lambda x: strip(F.array_join(x, "\n"))
+    pair = lambda a, b: F.struct(joined(a).alias("main"), some(joined(b)).alias("rest"))
+    whole = lambda x: let(x, lambda v: F.struct(v.alias("main"), some(v).alias("rest")))
+    return let(lines(c), parted)
 
 
 def _any(tests: list[Column]) -> Column:
@@ -65,7 +78,7 @@ def fill(template: str, values: dict[str, Column]) -> Column:
 
 def word_tokens(c: Column) -> Column:
     """The default tokenizer: pieces between white space."""
-    return F.filter(F.split(c, rf"(?U){_WS}+"), lambda t: t != "")
+    return F.filter(F.split(c, f"{_WS}+"), lambda t: t != "")
 
 
 def char_tokens(c: Column) -> Column:

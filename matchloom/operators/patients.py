@@ -164,8 +164,8 @@ def fold_groups(chunks: DataFrame, state: DataFrame, step: Callable[[Column, Col
 def split_summary(df: DataFrame, marker: str) -> DataFrame:
     """cleaned_patient_summary, cancer_history_summary and general_exclusion_criteria_evidence from original_patient_summary."""
     df = df.withColumn("cleaned_patient_summary", tx.strip(F.coalesce("original_patient_summary", F.lit(""))))
-    main, rest = tx.section_split(F.col("cleaned_patient_summary"), [marker, *MARKERS])
-    return df.withColumn("cancer_history_summary", main).withColumn("general_exclusion_criteria_evidence", rest)
+    df = df.withColumn("_s", tx.section_split(F.col("cleaned_patient_summary"), [marker, *MARKERS]))
+    return df.withColumn("cancer_history_summary", F.col("_s.main")).withColumn("general_exclusion_criteria_evidence", F.col("_s.rest")).drop("_s")
 
 
 def informative(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -56,10 +56,10 @@ def run_summaries(trials: DataFrame, generate: models.Generator, marker: str, ra
 
 def expand_spaces(summaries: DataFrame, marker: str) -> DataFrame:
     """One row per numbered line before the marker's line, numbered anew from 1; a trial without one gives none."""
-    main, rest = tx.section_split(F.coalesce("space_output_no_reasoning", F.lit("None")), [marker])
-    df = summaries.withColumn("space_text", main).withColumn("boilerplate_text", rest)
-    df = df.select("*", F.posexplode(tx.numbered_items(F.col("space_text"))).alias("_at", "clinical_space_summary"))
-    return df.withColumn("clinical_space_number", F.col("_at") + 1).drop("_at")
+    df = summaries.withColumn("_s", tx.section_split(F.coalesce("space_output_no_reasoning", F.lit("None")), [marker]))
+    df = df.select("*", F.posexplode(tx.numbered_items(F.col("_s.main"))).alias("_at", "clinical_space_summary"))
+    df = df.withColumn("space_text", F.col("_s.main")).withColumn("boilerplate_text", F.col("_s.rest"))
+    return df.withColumn("clinical_space_number", F.col("_at") + 1).drop("_at", "_s")
 
 
 def keyword_filter(spaces: DataFrame, keywords: list[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ _CONSISTENCY = f"""
 
 _KEYS = " ".join(f"{k}:" for k in SPACE_KEYWORDS if k != "Histology")
 _SPACES = f"""
-    sp as (select o_orderkey trial_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as integer) clinical_space_number,
+    sp as (select o_orderkey trial_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag = 'R') as integer) clinical_space_number,
                   '{_KEYS}' || case when l_returnflag = 'R' then '' else ' Histology: any' end || ' part ' || l_partkey clinical_space_summary,
                   case when o_orderstatus = 'O' then 'None' else o_orderpriority end rules, l_returnflag = 'R' gone
            from lineitem join orders on l_orderkey = o_orderkey)"""
