@@ -169,9 +169,14 @@ def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
 
 
 def fit(docs: DataFrame) -> Crf:
-    """Train on a sample of at most SAMPLE_TEXTS texts and SAMPLE_CHARS characters, taken by a hash of the text."""
+    """Train on a sample of at most SAMPLE_TEXTS different texts and SAMPLE_CHARS characters, taken by a hash of the text.
+
+    The hashes are ranked alone, so that only the texts of the sample travel.
+    """
     rank = F.xxhash64("text", F.lit(11))
-    rows = docs.where(F.col("text").rlike("[0-9]") & (F.length("text") <= SAMPLE_CHARS // SAMPLE_TEXTS)).select("text", rank.alias("rank")).orderBy("rank", "text").limit(SAMPLE_TEXTS).collect()
+    short = docs.where(F.col("text").rlike("[0-9]") & (F.length("text") <= SAMPLE_CHARS // SAMPLE_TEXTS)).select("text", rank.alias("rank"))
+    ranks = [r["rank"] for r in short.select("rank").distinct().orderBy("rank").limit(SAMPLE_TEXTS).collect()]
+    rows = short.where(F.col("rank") <= ranks[-1]).distinct().orderBy("rank", "text").limit(SAMPLE_TEXTS).collect() if ranks else []
     yes, no = [], []
     for r in rows:
         for seq, gold in examples(r["text"]):
