@@ -3,7 +3,7 @@
 Components of a query are its terms, and each dimension's column of candidate values is a term's posting list. Candidates
 are dealt into shards and queries into blocks; in each cell of a shard and a block every query splits its terms by score
 bounds into essential and non-essential ones, traverses the essential lists, and probes the others, largest bound first,
-only for candidates that can still reach the k-th best score. Shards are merged by a window over k rows a shard.
+only for candidates that can still reach the k-th best score. All queries of a block take these steps together. Shards are merged by a window over k rows a shard.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SHARD = 2_048
+SHARD = 16_384
 QUERIES = 1_024
-_PART = 512
+_PART = 2_048
+#: The bound that non-essential terms may use up. Any share up to 1 is exact; where vectors are dense, most terms would pass
+#: the whole bound and every candidate would be probed.
+SPLIT = 1 / 32
 
 
 def usable(vector: str) -> Column:
@@ -40,33 +43,47 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def search(ids: np.ndarray, lists: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a shard for one query, ties to the smaller id. ``lists``: a row of values for each term."""
+def search(ids: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the k best candidates of a shard for every query, ties to the smaller id.
+
+    ``lists`` has a row of candidate values for each term, ``queries`` a row for each query. Every query has its own
+    split: its essential lists are traversed by one product over the part (the others count as 0 there), and the pairs
+    that stay competitive are probed in the others one after another.
+    """
     high, low = lists.max(axis=1), lists.min(axis=1)
-    most, least = np.maximum(query * high, query * low), np.minimum(query * high, query * low)
-    order = np.argsort(most - least, kind="stable")
-    spread = np.cumsum((most - least)[order])
-    floor, best_s, best_i = least.sum(), np.zeros(0, lists.dtype), np.zeros(0, np.int64)
+    most, least = np.maximum(queries * high, queries * low), np.minimum(queries * high, queries * low)
+    order = np.argsort(most - least, axis=1, kind="stable")
+    spread = np.cumsum(np.take_along_axis(most - least, order, 1), axis=1)
+    place = np.argsort(order, axis=1)
+    floor, rows = least.sum(axis=1), np.arange(len(queries))
+    best_s, best_i = np.full((len(queries), k), -np.inf, lists.dtype), np.zeros((len(queries), k), np.int64)
     for at in range(0, len(ids), _PART):
-        part = slice(at, at + _PART)
-        theta = best_s[-1] if len(best_s) == k else -np.inf
-        cut = int(np.searchsorted(spread, theta - floor)) if theta > -np.inf else 0
-        weak, strong = order[:cut], order[cut:]
-        own = ids[part]
-        score = query[strong] @ lists[strong, part] if len(strong) else np.zeros(len(own), lists.dtype)
-        live = np.flatnonzero(own != query_id)
-        rest = most[weak].sum()
-        for t in weak[::-1]:
-            live = live[score[live] + rest >= theta]
-            if not len(live):
-                break
-            score[live] += query[t] * lists[t, part][live]
-            rest -= most[t]
-        live = live[score[live] >= theta]
-        s, i = np.r_[best_s, score[live]], np.r_[best_i, own[live]]
-        keep = np.lexsort((i, -s))[:k]
-        best_s, best_i = s[keep], i[keep]
-    return list(zip(best_s.tolist(), best_i.tolist()))
+        own, part = ids[at : at + _PART], lists[:, at : at + _PART]
+        theta = best_s[:, -1]
+        cut = (spread < (theta - floor)[:, None] * SPLIT).sum(axis=1)
+        weak = place < cut[:, None]
+        score = np.where(weak, 0, queries) @ part
+        score[own == query_ids[:, None]] = -np.inf
+        if len(own) >= k and np.isneginf(theta).any():
+            theta = np.maximum(theta, np.partition(score, -k, axis=1)[:, -k] + np.where(weak, least, 0).sum(axis=1))
+        rest = np.where(weak, most, 0).sum(axis=1)
+        q, c = np.nonzero((score >= (theta - rest)[:, None]) & (score > -np.inf))
+        got = score[q, c]
+        for t in range(cut.max(initial=0) - 1, -1, -1):
+            term = order[q, t]
+            got += np.where(cut[q] > t, queries[q, term] * part[term, c], 0)
+            rest -= np.where(cut > t, most[rows, order[:, t]], 0)
+            live = got + rest[q] >= theta[q]
+            q, c, got = q[live], c[live], got[live]
+        old, slot = np.nonzero(best_s > -np.inf)
+        q, got, i = np.r_[old, q], np.r_[best_s[old, slot], got], np.r_[best_i[old, slot], own[c]]
+        by = np.lexsort((i, -got, q))
+        q, got, i = q[by], got[by], i[by]
+        rank = np.arange(len(q)) - np.searchsorted(q, rows)[q]
+        top = rank < k
+        best_s[q[top], rank[top]], best_i[q[top], rank[top]] = got[top], i[top]
+    q, slot = np.nonzero(best_s > -np.inf)
+    return query_ids[q], best_i[q, slot], best_s[q, slot].astype(np.int64)
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
@@ -89,18 +106,15 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD, bl
     right = asked.select("vec_id", "vector", deal(blocks, 2).alias("b"), each(shards).alias("s")).select("vec_id", "vector", "s", "b").groupBy("s", "b")
 
     def cell(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        found = [np.zeros(0, np.int64)] * 3
         if candidates.num_rows and queries.num_rows:
             ids = candidates.column("vec_id").to_numpy()
             lists, asks = _matrix(candidates.column("vector"), width).T, _matrix(queries.column("vector"), width)
             small = float(np.abs(lists).max(initial=0)) * float(np.abs(asks).max(initial=0)) * max(width, 1) < 2**52
-            kind = np.float64 if small else np.int64
+            kind = np.float64 if small else np.longdouble
             order = np.argsort(ids, kind="stable")
-            ids, lists = ids[order], np.ascontiguousarray(lists[:, order]).astype(kind)
-            for q, v in zip(queries.column("vec_id").to_pylist(), asks.astype(kind)):
-                out += [(q, int(i), int(s)) for s, i in search(ids, lists, q, v, k)]
-        names = ("query_id", "vec_id", "score")
-        return pa.table({c: pa.array([x[j] for x in out], pa.int64()) for j, c in enumerate(names)})
+            found = search(ids[order], lists[:, order].astype(kind), queries.column("vec_id").to_numpy(), asks.astype(kind), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = left.cogroup(right).applyInArrow(cell, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
