@@ -39,6 +39,16 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that one task of ``stage_narrow`` writes.
+NARROW_ROWS = 250_000
+
+
+def stage_narrow(df: DataFrame, what: str, most: int) -> DataFrame:
+    """``stage`` for rows of a few numbers, at most ``most`` of them: as many tasks as they need, but enough for all cores."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-most // NARROW_ROWS))
+    return stage(df.coalesce(tasks), what)
+
+
 def clean_staging() -> None:
     """Remove all staged tables of this process. Frames that read them can't be used afterwards."""
     while _STAGED:

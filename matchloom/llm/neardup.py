@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from matchloom.llm.common import map_rows, stage
+from matchloom.llm.common import map_rows, stage, stage_narrow
 
 WORDS = 5
 VALUES = 128
@@ -107,35 +107,31 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     def deeper():
         def one(rep, tree, sig):
             s = np.frombuffer(sig, np.uint16)
-            return [(rep, *(_key(s, tree, d) for d in DEPTHS[1:]))]
+            return [(_key(s, tree, d), i, tree, rep) for i, d in enumerate(DEPTHS) if i]
 
         return one
 
-    def counted(rows: DataFrame, key: str) -> DataFrame:
-        sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).where("size > 1")
-        return rows.join(stage(sizes, "sizes"), key)
+    def sized(rows: DataFrame, most: int) -> DataFrame:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).where("size > 1")
+        return rows.join(stage_narrow(sizes, "sizes", most), "key")
 
-    level = stage(counted(map_rows(reps.select("rep", "sig"), "k0 long, tree int, rep long", roots), "k0"), "roots")
-    found = [level.where(F.col("size") <= CROWD).select(F.col("k0").alias("region"), F.lit(None).cast("long").alias("first"), "rep")]
-    full = level.where(F.col("size") > CROWD).select(F.col("k0").alias("region"), "size", "rep")
+    most = reps.count() * TREES
+    level = stage(sized(map_rows(reps.select("rep", "sig"), "key long, tree int, rep long", roots), most), "roots")
+    shallow = level.where(F.col("size") <= CROWD).select(F.col("key").alias("region"), F.lit(None).cast("long").alias("first"), "rep")
+    full = level.where(F.col("size") > CROWD).select(F.col("key").alias("region"), "size", "rep")
     crowded = level.where(F.col("size") > CROWD).join(reps.select("rep", "sig"), "rep").select("rep", "tree", "sig")
-    rows = map_rows(crowded, "rep long, " + ", ".join(f"k{i} long" for i in range(1, len(DEPTHS))), deeper)
-    rows = stage(rows, "crowded")
-    if not rows.isEmpty():
-        for i in range(1, len(DEPTHS)):
-            level = counted(rows, f"k{i}")
-            if i + 1 == len(DEPTHS):
-                chunk = F.when(F.col("size") <= CROWD, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CROWD)))
-                first = F.when(F.col("size") > CROWD, F.col("first"))
-                found.append(level.select(F.xxhash64(f"k{i}", chunk).alias("region"), first.alias("first"), "rep"))
-                break
-            level = stage(level, "level")
-            found.append(level.where(F.col("size") <= CROWD).select(F.col(f"k{i}").alias("region"), F.lit(None).cast("long").alias("first"), "rep"))
-            rows = level.where(F.col("size") > CROWD).drop("size", "first")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out, full
+    keys = stage(map_rows(crowded, "key long, depth int, tree int, rep long", deeper), "crowded")
+    if keys.isEmpty():
+        return shallow, full
+    # A deeper key lies within one shallower key, so sizes over all crowded rows are those within crowded regions.
+    found = F.struct(F.when(F.col("size") <= CROWD, F.col("depth")).otherwise(len(DEPTHS)).alias("at"), (-F.col("depth")).alias("deepest"), "key", "size", "first")
+    best = sized(keys, most * len(DEPTHS)).groupBy("rep", "tree").agg(F.min(found).alias("x"), F.max("depth").alias("reached")).select("rep", "reached", "x.*")
+    # A region that would lie below the last shared key has one member: it takes no part.
+    last = len(DEPTHS) - 1
+    fits = best.where(f"at <= {last}").select(F.col("key").alias("region"), F.lit(None).cast("long").alias("first"), "rep")
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CROWD))
+    over = best.where(f"at > {last} and reached = {last}").select(F.xxhash64("key", chunk).alias("region"), "first", "rep")
+    return shallow.unionByName(fits).unionByName(over), full
 
 
 def _by_region(rows: DataFrame, schema: str, fn) -> DataFrame:
@@ -227,28 +223,34 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that can be reached over the edges (a, b), for each node of an edge."""
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    """(node, label): the smallest node that can be reached over the edges (a, b), for each node of an edge. Reads ``edges`` in each step, so give a staged table."""
+    most = 2 * edges.count()
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    labels = stage_narrow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels", most)
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         lower = labels.join(around, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = stage(lower.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label")), "labels")
+        new = stage_narrow(lower.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label")), "labels", most)
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, label) after more links (a, b)."""
+    """``labels`` (node, label) after more links (a, b): components of the graph whose nodes are the labels so far."""
     links = stage(links, "links")
     if links.isEmpty():
         return labels
-    ends = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    for x, end in zip("ab", ends):
-        links = links.join(end, x, "left")
-    return components(links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).union(labels.select("node", "label")))
+    most = links.count()
+    for x in "ab":
+        links = links.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+    ends = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    merged = components(stage_narrow(ends.distinct(), "merged", most))
+    new = merged.withColumnRenamed("label", "to")
+    old = labels.join(new.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    added = merged.join(labels.select("node"), "node", "left_anti")
+    return stage_narrow(old.unionByName(added), "labels", labels.count() + 2 * most)
 
 
 def _strays(full: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -312,8 +314,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def setup():
         return lambda doc_id, text: [(doc_id, shingles(text).tobytes())]
 
-    wanted = docs.select("doc_id", "text").join(stage(ends, "ends"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = stage(map_rows(wanted, "rep long, set binary", setup).distinct(), "sets")
+    ends = stage_narrow(ends, "ends", reps.count())
+    # Distinct before the sets are made: the join has dealt the rows by doc_id already, and texts are shorter than sets.
+    wanted = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", "text").distinct()
+    sets = stage(map_rows(wanted, "rep long, set binary", setup), "sets")
     links = stage(_links(tried, sets), "links")
     first = components(links)
     named = regions.drop("first").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
