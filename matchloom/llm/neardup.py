@@ -10,7 +10,10 @@ Candidates become links only after their whole sets have been compared, in two r
 likely pairs in each region and joins them into components; the second compares every remaining likely pair whose ends are
 in different components. So a group of n copies costs about n comparisons, and no link is left out for being one of many.
 Deep prefixes lose a document whose only link leads into a large group of near copies. So where one component holds half
-of a crowded region, every other document there is compared with all of that component's members, in blocks.
+of a crowded region, every other document there is compared with all of that component's members, in blocks. At last all
+documents of a crowded region that are still in different components are compared with each other, in cells of two blocks,
+so that a crowd which is no group of copies (one template, different documents) loses no link to the deeper prefixes. That
+costs the square of what is unlinked in a crowded region, in comparisons but not in rows.
 Components come from minimum labels with pointer jumping over staged tables; nothing is collected.
 """
 
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +36,8 @@ DEPTHS = (3, 6, 10, 18, 32)
 CROWD = 192
 #: Members and strays in a block of the last step.
 MEMBERS, STRAYS = 2048, 512
+#: Documents, and shingles of all of them, in a block of a crowded region.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Of 128 equal signature values; a pair at 0.75 falls below with probability of about 1e-7.
 LIKELY = 72
 
@@ -293,6 +299,75 @@ def _strays(full: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return left.cogroup(right).applyInArrow(cell, "a long, b long")
 
 
+def _crowds(full: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of documents in one crowded region: enough of them to join all that have any.
+
+    Members of the region's largest component need no comparison among themselves, so they are dealt into blocks of their
+    own; every pair of blocks but these is a cell.
+    """
+    sizes = reps.groupBy("rep").agg(F.max("n").alias("n"))
+    named = full.select("region", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "rep")
+    named = stage(named.select("region", "rep", "n", F.coalesce("label", "rep").alias("label")), "crowds")
+    shares = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    whole = shares.groupBy("region").agg(F.max(F.struct("rows", "label", "shingles")).alias("x"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    split = whole.where("x.rows < rows").select(
+        "region", F.col("x.label").alias("main"), blocks(F.col("rows") - F.col("x.rows"), F.col("shingles") - F.col("x.shingles")).alias("own"), blocks(F.col("x.rows"), F.col("x.shingles")).alias("others")
+    )
+    dealt = named.join(stage(split, "split"), "region")
+    deal = lambda of: F.pmod(F.xxhash64("rep", "region"), of).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("label") == F.col("main"), F.col("own") + deal(F.col("others"))).otherwise(deal(F.col("own"))))
+    # Cells (i, j) with i <= j and i of the blocks outside the main component.
+    first = F.when(F.col("block") < F.col("own"), F.sequence("block", F.col("own") + F.col("others") - 1)).otherwise(F.array().cast("array<int>"))
+    second = F.when(F.col("block") > 0, F.sequence(F.lit(0), F.least("block", "own") - 1)).otherwise(F.array().cast("array<int>"))
+    cells = F.concat(F.transform(first, lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("left"))), F.transform(second, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"))))
+    rows = dealt.select("region", "rep", "label", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell.i", "cell.j").alias("region"), "rep", "label", "cell.left", (F.col("cell.i") == F.col("cell.j")).alias("within"))
+    return _by_region(rows.join(sets, "rep"), "a long, b long", _cell).distinct()
+
+
+def _cell(table: pa.Table, lo: int, hi: int, a: list[int], b: list[int]) -> None:
+    part = table.slice(lo, hi - lo)
+    ids, label, left = (part.column(c).to_numpy() for c in ("rep", "label", "left"))
+    # Of the set itself: a repeated doc_id may have several.
+    n = pc.binary_length(part.column("set")).to_numpy().astype(np.int64) // 8
+    left = left.astype(bool)
+    rows = np.flatnonzero(left)
+    others = rows if part.column("within")[0].as_py() else np.flatnonzero(~left)
+    if not len(others) or (label == label[0]).all():
+        return
+    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+    found: list[tuple[int, np.ndarray]] = []
+    values = np.ascontiguousarray(sig[others].T)
+    label = label.copy()
+    for at in range(0, len(rows), 64):
+        mine = rows[at : at + 64]
+        equal = np.zeros((len(mine), len(others)), np.uint8)
+        for k in range(VALUES):
+            equal += sig[mine, k][:, None] == values[k]
+        near = (equal >= LIKELY) & (label[mine][:, None] != label[others]) & (100 * np.minimum(n[mine][:, None], n[others]) >= 75 * np.maximum(n[mine][:, None], n[others]))
+        found += [(int(i), others[x]) for i, x in zip(mine, near) if x.any()]
+    if not found:
+        return
+    sets = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
+    used = np.unique(np.concatenate([x for _, x in found] + [np.array([i for i, _ in found])]))
+    known, codes = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    cuts = np.cumsum([len(sets[i]) for i in used])[:-1]
+    coded = dict(zip(used.tolist(), np.split(codes, cuts)))
+    held = np.zeros(len(known), bool)
+    for i, near in found:
+        near = near[label[near] != label[i]]
+        if not len(near):
+            continue
+        held[coded[i]] = True
+        both = np.add.reduceat(held[np.concatenate([coded[j] for j in near.tolist()])], np.r_[0, np.cumsum(n[near])[:-1]], dtype=np.int64)
+        held[coded[i]] = False
+        for j in near[100 * both >= 75 * (n[i] + n[near] - both)]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(min(int(ids[i]), int(ids[j])))
+                b.append(max(int(ids[i]), int(ids[j])))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest linked doc_id), kept.
 
@@ -324,7 +399,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _by_region(named.select("region", "rep", "n", "sig", "label"), "a long, b long", _between).distinct().join(tried, ["a", "b"], "left_anti")
     late = stage(_links(stage(more, "more"), sets), "late")
     first = _joined(first, late)
-    first = _joined(first, _strays(full, first, sets.join(reps.select("rep", "sig"), "rep")))
+    signed = sets.join(reps.select("rep", "sig"), "rep")
+    first = _joined(first, _strays(full, first, signed))
+    first = _joined(first, _crowds(full, first, reps, signed))
     same = reps.select("same", "rep")
     out = marks.select("doc_id", "n", "same").join(same, "same", "left")
     out = out.join(first.select(F.col("node").alias("rep"), "label"), "rep", "left")

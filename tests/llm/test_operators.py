@@ -66,6 +66,29 @@ def test_near_dedup_equals_brute_force(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 5000])
+def test_near_dedup_of_a_template_crowd_equals_brute_force(spark, n):
+    """Unlinked texts around one passage (Jaccard of 0.65), among them pairs of 0.76."""
+    passage = [f"t{k}" for k in range(131)]
+    texts = [(i, " ".join(passage + [f"u{i - i % 2 if i < 200 and k < 12 else i}_{k}" for k in range(34)])) for i in range(n)]
+    known, held = {}, []
+    for _, t in texts:
+        w = t.split()
+        held.append([known.setdefault(tuple(w[k : k + 5]), len(known)) for k in range(len(w) - 4)])
+    seen = np.bincount(np.concatenate(held))
+    place = np.cumsum(seen > 1) - 1
+    x = np.zeros((n, place[-1] + 1), np.float32)
+    for i, h in enumerate(held):
+        x[i, [place[c] for c in h if seen[c] > 1]] = 1
+    both, size = x @ x.T, np.array([len(h) for h in held])
+    a, b = np.nonzero(np.triu(100 * both >= 75 * (size[:, None] + size - both), 1))
+    assert list(zip(a, b)) == [(i, i + 1) for i in range(0, 200, 2)]
+    label = np.arange(n)
+    label[b] = a
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(n)] == label.tolist()
+
+
 def test_warc_round_trip_and_splits(spark):
     big = "<p>é</p>" * 200
     pages = [(1, "http://a/\n x", big), (2, "http://b", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (6, "u", big + "2")]
