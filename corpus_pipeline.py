@@ -12,9 +12,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known: those with a letter and a best language. Rows without doc_id stay or go by their text."""
+    """Keeps documents whose language is known: those with a letter and no narrow margin. Rows without doc_id stay or go by their text."""
     model = langid.fit(queries.language_training(docs))
-    return _kept(docs, lambda: langid.Classifier(model), lambda c, text: c.predict(text)[0] != langid.UNKNOWN)
+    return _kept(docs, lambda: langid.Classifier(model), lambda c, text: not c.predict(text)[2])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

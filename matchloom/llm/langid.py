@@ -3,8 +3,10 @@
 For every language a zstandard raw-content dictionary is filled from a bounded sample of labelled texts. A text is
 compressed once with each dictionary, and the language whose dictionary gives the smallest output wins. Short texts give
 sizes that differ by a byte or two, so for them the sizes of several rotations by words are added, which resolves
-fractions of a byte. A text is rejected when the margin to the second language is no more than ``margin`` of its size,
-or when it holds no letter at all.
+fractions of a byte. A text is rejected when the margin to the second language is no more than ``margin`` of its size
+(of a text below SHORT bytes, a share of that by its length), or when it holds no letter at all. ``fit`` learns the margin
+from its sample: each half is identified with dictionaries of the other one, and the margin is the one that would reject
+REJECTED of the texts identified rightly.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ DICTIONARY_BYTES = 110_000
 LEVEL = 3
 SHORT = 400
 UNKNOWN = "und"
+#: Share of rightly identified training texts that the margin may reject, and the largest margin.
+REJECTED = 0.005
+MOST_MARGIN = 0.02
 _BETWEEN = re.compile(r"[\W\d_]+")
 
 
@@ -32,8 +37,14 @@ def plain(text: str) -> str:
     return _BETWEEN.sub(" ", text.lower())
 
 
-def fit(train: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """Dictionaries by language from (doc_id, text, lang) rows.
+class Dictionaries(dict):
+    """Dictionaries by language, and the margin learned with them."""
+
+    margin = 0.0
+
+
+def fit(train: DataFrame, texts: int = SAMPLE_TEXTS) -> Dictionaries:
+    """Dictionaries by language, and their margin, from (doc_id, text, lang) rows.
 
     About ``texts`` texts of each language are taken by a hash of doc_id, after a count of all rows by language; at most
     SAMPLE_BYTES of each go in, so the driver sees a bounded sample. Null or blank texts and null languages are ignored.
@@ -41,24 +52,51 @@ def fit(train: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     train = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return {}
+        return Dictionaries()
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * texts / n))])
     rank = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20))
     picked = train.where(rank < F.element_at(shares, F.col("lang")) * (1 << 20))
     picked = picked.select("lang", rank.alias("rank"), F.col("doc_id"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     rows = picked.orderBy("rank", "doc_id", "text").limit(2 * texts * len(counts)).collect()
-    out: dict[str, bytearray] = {k: bytearray() for k in counts}
-    for r in sorted(rows, key=lambda r: (-r["rank"], str(r["doc_id"]), r["text"])):
-        piece = plain(r["text"]).encode("utf-8", "surrogatepass")[:SAMPLE_BYTES] + b" "
-        out[r["lang"]] = (out[r["lang"]] + piece)[-DICTIONARY_BYTES:]
-    return {k: bytes(v) for k, v in out.items() if v}
+    rows = [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (-r["rank"], str(r["doc_id"]), r["text"]))]
+    out = Dictionaries(_filled(rows))
+    out.margin = _margin(rows)
+    return out
+
+
+def _filled(rows: list[tuple[str, str]]) -> dict[str, bytes]:
+    out: dict[str, bytearray] = {}
+    for lang, text in rows:
+        piece = plain(text).encode("utf-8", "surrogatepass")[:SAMPLE_BYTES] + b" "
+        out[lang] = (out.get(lang, bytearray()) + piece)[-DICTIONARY_BYTES:]
+    return {k: bytes(v) for k, v in out.items()}
+
+
+def _margin(rows: list[tuple[str, str]]) -> float:
+    """The margin that rejects at most REJECTED of the texts identified rightly by dictionaries of the other half."""
+    order: dict[str, int] = {}
+    halves: tuple[list, list] = ([], [])
+    for lang, text in rows:
+        order[lang] = order.get(lang, -1) + 1
+        halves[order[lang] % 2].append((lang, text))
+    gaps = []
+    for known, tried in (halves, halves[::-1]):
+        c = Classifier(_filled(known))
+        for lang, text in tried:
+            best, gap = c.gap(text) if len(c.names) > 1 else (None, 0.0)
+            if best is not None and c.names[best] == lang:
+                gaps.append(gap)
+    gaps.sort()
+    most = int(REJECTED * len(gaps))
+    return min(MOST_MARGIN, gaps[most - 1] if most else gaps[0] / 2) if gaps else 0.0
 
 
 class Classifier:
-    """Compressors of all languages; ``predict`` gives (language, score, rejected)."""
+    """Compressors of all languages. ``guess`` gives (best language, score, rejected), ``predict`` the same with a rejected text's language as unknown."""
 
-    def __init__(self, dictionaries: dict[str, bytes], margin: float = 0.0):
-        self.names, self.margin, self.coders = sorted(dictionaries), margin, []
+    def __init__(self, dictionaries: dict[str, bytes], margin: float | None = None):
+        self.names, self.coders = sorted(dictionaries), []
+        self.margin = getattr(dictionaries, "margin", 0.0) if margin is None else margin
         for k in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
@@ -73,25 +111,39 @@ class Classifier:
             data += [" ".join(words[i:] + words[:i]).encode("utf-8", "surrogatepass") for i in range(0, len(words), step)]
         return [sum(len(c.compress(x)) for x in data) / len(data) for c in self.coders]
 
+    def gap(self, text: str) -> tuple[int, float]:
+        """The best language's place and the margin to the second one, as ``margin`` counts it."""
+        sizes = self.sizes(text)
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
+        return best, self._share(text, sizes, best)
+
+    def _share(self, text: str, sizes: list[float], best: int) -> float:
+        rest = min(s for i, s in enumerate(sizes) if i != best) - sizes[best]
+        return rest / (sizes[best] * min(1.0, max(1, len(plain(text).encode("utf-8", "surrogatepass"))) / SHORT))
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
+        lang, score, rejected = self.guess(text)
+        return UNKNOWN if rejected else lang, score, rejected
+
+    def guess(self, text: str | None) -> tuple[str, float, bool]:
         if not self.names or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
         rest = [s - sizes[best] for i, s in enumerate(sizes) if i != best]
         score = 1 / (1 + sum(math.exp(-min(60.0, x)) for x in rest))
-        return self.names[best], score, bool(rest) and min(rest) <= self.margin * sizes[best]
+        return self.names[best], score, bool(rest) and self._share(text, sizes, best) <= self.margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float | None = None) -> DataFrame:
     """doc_id, lang_pred, score, rejected for each row of ``docs`` (doc_id, text; nothing else is read).
 
     Null texts and texts without a letter are ``und`` with score 0 and are rejected, as is everything when no language
-    was learned. Equal texts get equal results; ties go to the first language by name and are rejected.
+    was learned. Without ``margin`` the one learned by ``fit`` holds. Equal texts get equal results; ties go to the first language by name and are rejected.
     """
 
     def setup():
         c = Classifier(dictionaries, margin)
-        return lambda doc_id, text: [(doc_id, *c.predict(text))]
+        return lambda doc_id, text: [(doc_id, *c.guess(text))]
 
     return map_rows(docs.select("doc_id", "text"), "doc_id long, lang_pred string, score double, rejected boolean", setup)

@@ -122,6 +122,25 @@ def test_language(spark):
     assert langid.fit(train.limit(0)) == {} and langid.identify(test, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_margin_rejects_gibberish_and_mixtures(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    shared = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    own = {k: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(60)] for k in ("aa", "bb")}
+    made = lambda k, n: " ".join(r.choice(own[k]) if r.random() < 0.3 else r.choice(shared) for _ in range(n))
+    rows = [(i, made(k, 120), k, "s", 1) for i in range(600) for k in [("aa", "bb")[i % 2]]]
+    held = [(10_000 + i, made(("aa", "bb")[i % 2], 120), None, "s", 1) for i in range(100)]
+    odd = [(20_000, "qrstuvwxyz" * 3, None, "s", 1), (20_001, "zz yx", None, "s", 1)] + [(20_002 + i, " ".join("".join(r.choices("qrstuvwxyz", k=6)) for _ in range(120)), None, "s", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows + held + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit(queries.language_training(docs))
+    assert 0 < model.margin <= langid.MOST_MARGIN
+    got = {x.doc_id for x in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert len(got & {i for i, *_ in held}) >= 97 and not got & {i for i, *_ in odd}
+    found = {x.doc_id for x in langid.identify(docs, model).where("not rejected").collect()}
+    assert found == got
+
+
 def test_secrets_base_and_chain(spark):
     t = 'token = "abcdefghijkl" ſecret=abcdefghijkl token= secret: aaaaaaaaaaaa AKIA' + "A" * 14 + " " + "0123456789abcdef" + " é password=short"
     want = [("assign", 0, 21), ("access", t.index("AKIA"), t.index("AKIA") + 18), ("hex", t.index("0123"), t.index("0123") + 16)]
