@@ -135,7 +135,8 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A region that would lie below the last shared key has one member: it takes no part.
     last = len(DEPTHS) - 1
     fits = best.where(f"at <= {last}").select(F.col("key").alias("region"), F.lit(None).cast("long").alias("first"), "rep")
-    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CROWD))
+    # Salted with the key, so that each tree deals the same documents anew.
+    chunk = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / CROWD))
     over = best.where(f"at > {last} and reached = {last}").select(F.xxhash64("key", chunk).alias("region"), "first", "rep")
     return shallow.unionByName(fits).unionByName(over), full
 

@@ -89,6 +89,15 @@ def test_near_dedup_of_a_template_crowd_equals_brute_force(spark, n):
     assert [got[i] for i in range(n)] == label.tolist()
 
 
+def test_near_dedup_deals_equal_signatures_anew_in_each_tree(spark):
+    sig = bytearray(neardup.signature(neardup.shingles(" ".join(prose(1, 60)))).tobytes())
+    regions, _ = neardup._regions(spark.createDataFrame([(i, sig) for i in range(600)], "rep long, sig binary"))
+    chunks = {}
+    for r in regions.collect():
+        chunks.setdefault(r.region, set()).add(r.rep)
+    assert len(chunks) == neardup.TREES * 4 == len(set(map(frozenset, chunks.values())))
+
+
 def test_warc_round_trip_and_splits(spark):
     big = "<p>é</p>" * 200
     pages = [(1, "http://a/\n x", big), (2, "http://b", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (6, "u", big + "2")]
