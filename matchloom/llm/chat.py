@@ -60,14 +60,13 @@ def format_chats(rows: DataFrame) -> DataFrame:
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (array of role, text), loss (array of text): the inverse of ``format_chats``.
 
-    The text under the loss mask is taken by the spans' lengths from the learned turns in order, which the spans cover.
+    The text under the loss mask is read from ``formatted`` at the spans' places.
     """
     blocks = F.transform(F.filter(F.split("formatted", "</s>"), lambda b: b != ""), lambda b: F.substring(b, F.lit(4), F.length(b)))
     opened = F.transform(blocks, lambda b: F.struct(F.substring_index(b, "\n", 1).alias("name"), F.split(F.substring(b, F.length(F.substring_index(b, "\n", 1)) + 2, F.length(b)), "<t>").alias("texts")))
     turns = F.flatten(F.transform(opened, lambda b: F.transform(b["texts"], lambda t: F.struct(_unescape_role(b["name"]).alias("role"), t.alias("text")))))
     out = formatted.withColumn("raw", turns)
-    learned = F.transform(F.filter("raw", lambda t: t["role"] == LEARNED), lambda t: t["text"])
-    loss = F.zip_with(learned, "loss_spans", lambda t, s: unescape(F.substring(t, F.lit(1), (s["end"] - s["start"]).cast("int"))))
+    loss = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     return out.select("*", F.transform("raw", lambda t: F.struct(t["role"].alias("role"), unescape(t["text"]).alias("text"))).alias("turns"), loss.alias("loss")).drop("raw")
 
 

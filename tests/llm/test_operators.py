@@ -199,6 +199,14 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_loss_is_read_at_the_spans(spark):
+    made = chat.format_chats(spark.createDataFrame([(1, 0, "user", "one"), (1, 1, "assistant", "B<s>é"), (1, 2, "assistant", "C")], "conv_id long, turn long, role string, text string"))
+    moved = made.withColumn("loss_spans", F.expr("transform(loss_spans, s -> struct(s.start - 2 as start, s.end - 1 as end))"))
+    [right], [wrong] = chat.parse_chats(made).collect(), chat.parse_chats(moved).collect()
+    assert right.loss == ["B<s>é", "C"]
+    assert wrong.loss == [wrong.formatted[s.start : s.end].replace("&lt;", "<") for s in wrong.loss_spans] != right.loss
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     v = (rng.normal(size=(300, 12)) * 0.3).astype(np.float32)
