@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _STAGED: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that would be a folder of one machine, so it raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="matchloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,14 +45,12 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers that one task of ``stage_narrow`` writes.
-NARROW_ROWS = 250_000
-
-
-def stage_narrow(df: DataFrame, what: str, most: int) -> DataFrame:
-    """``stage`` for rows of a few numbers, at most ``most`` of them: as many tasks as they need, but enough for all cores."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-most // NARROW_ROWS))
-    return stage(df.coalesce(tasks), what)
+def counted_stage(df: DataFrame, what: str, of: Column | None = None) -> tuple[DataFrame, int]:
+    """``stage``, and the number of rows written for which ``of`` holds (all rows without it), counted by the write itself."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if of is None else F.count_if(of)
+    staged = stage(df.observe(seen, counted.alias("n")), what)
+    return staged, seen.get["n"]
 
 
 def clean_staging() -> None:

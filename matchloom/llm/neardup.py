@@ -9,11 +9,11 @@ members is also a candidate of the region's smallest document.
 Candidates become links only after their whole sets have been compared, in two rounds. The first round compares a star of
 likely pairs in each region and joins them into components; the second compares every remaining likely pair whose ends are
 in different components. So a group of n copies costs about n comparisons, and no link is left out for being one of many.
-Deep prefixes lose a document whose only link leads into a large group of near copies. So where one component holds half
-of a crowded region, every other document there is compared with all of that component's members, in blocks. At last all
-documents of a crowded region that are still in different components are compared with each other, in cells of two blocks,
-so that a crowd which is no group of copies (one template, different documents) loses no link to the deeper prefixes. That
-costs the square of what is unlinked in a crowded region, in comparisons but not in rows.
+Deep prefixes lose a document whose only link leads into a large group of near copies, or into a crowd that is no group of
+copies (one template, different documents). So all documents of a crowded region that are still in different components are
+compared with each other at last, in cells of two blocks. A block is bounded by its documents and by their shingles, and
+members of the region's largest component are not compared among themselves. That costs the square of what is unlinked in a
+crowded region, in comparisons but not in rows.
 Components come from minimum labels with pointer jumping over staged tables; nothing is collected.
 """
 
@@ -27,15 +27,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from matchloom.llm.common import map_rows, stage, stage_narrow
+from matchloom.llm.common import counted_stage, map_rows, stage
 
 WORDS = 5
 VALUES = 128
 TREES = 16
 DEPTHS = (3, 6, 10, 18, 32)
 CROWD = 192
-#: Members and strays in a block of the last step.
-MEMBERS, STRAYS = 2048, 512
 #: Documents, and shingles of all of them, in a block of a crowded region.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Of 128 equal signature values; a pair at 0.75 falls below with probability of about 1e-7.
@@ -117,12 +115,11 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return one
 
-    def sized(rows: DataFrame, most: int) -> DataFrame:
+    def sized(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).where("size > 1")
-        return rows.join(stage_narrow(sizes, "sizes", most), "key")
+        return rows.join(stage(sizes, "sizes"), "key")
 
-    most = reps.count() * TREES
-    level = stage(sized(map_rows(reps.select("rep", "sig"), "key long, tree int, rep long", roots), most), "roots")
+    level = stage(sized(map_rows(reps.select("rep", "sig"), "key long, tree int, rep long", roots)), "roots")
     shallow = level.where(F.col("size") <= CROWD).select(F.col("key").alias("region"), F.lit(None).cast("long").alias("first"), "rep")
     full = level.where(F.col("size") > CROWD).select(F.col("key").alias("region"), "size", "rep")
     crowded = level.where(F.col("size") > CROWD).join(reps.select("rep", "sig"), "rep").select("rep", "tree", "sig")
@@ -131,7 +128,7 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         return shallow, full
     # A deeper key lies within one shallower key, so sizes over all crowded rows are those within crowded regions.
     found = F.struct(F.when(F.col("size") <= CROWD, F.col("depth")).otherwise(len(DEPTHS)).alias("at"), (-F.col("depth")).alias("deepest"), "key", "size", "first")
-    best = sized(keys, most * len(DEPTHS)).groupBy("rep", "tree").agg(F.min(found).alias("x"), F.max("depth").alias("reached")).select("rep", "reached", "x.*")
+    best = sized(keys).groupBy("rep", "tree").agg(F.min(found).alias("x"), F.max("depth").alias("reached")).select("rep", "reached", "x.*")
     # A region that would lie below the last shared key has one member: it takes no part.
     last = len(DEPTHS) - 1
     fits = best.where(f"at <= {last}").select(F.col("key").alias("region"), F.lit(None).cast("long").alias("first"), "rep")
@@ -231,73 +228,31 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that can be reached over the edges (a, b), for each node of an edge. Reads ``edges`` in each step, so give a staged table."""
-    most = 2 * edges.count()
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    labels = stage_narrow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels", most)
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         lower = labels.join(around, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = stage_narrow(lower.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label")), "labels", most)
+        new, changed = counted_stage(lower.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label")), "labels", F.col("old") != F.col("label"))
         labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
+        if not changed:
             return labels
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) after more links (a, b): components of the graph whose nodes are the labels so far."""
-    links = stage(links, "links")
-    if links.isEmpty():
+    links, n = counted_stage(links, "links")
+    if not n:
         return labels
-    most = links.count()
     for x in "ab":
         links = links.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
     ends = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-    merged = components(stage_narrow(ends.distinct(), "merged", most))
+    merged = components(stage(ends.distinct(), "merged"))
     new = merged.withColumnRenamed("label", "to")
     old = labels.join(new.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     added = merged.join(labels.select("node"), "node", "left_anti")
-    return stage_narrow(old.unionByName(added), "labels", labels.count() + 2 * most)
-
-
-def _strays(full: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of documents in crowded regions with members of the component that holds at least half of the region."""
-    named = full.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = stage(named.select("region", "size", "rep", "label"), "named")
-    shares = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("2 * n >= size")
-    main = stage(shares.groupBy("region").agg(F.min("label").alias("main")), "main")
-    stray = stage(named.join(main, "region").where("label <> main").select("main", "rep").distinct(), "stray")
-    sizes = labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("members"))
-    sizes = stage(stray.groupBy("main").agg(F.count(F.lit(1)).alias("strays")).join(sizes, "main"), "sizes")
-    chunks, blocks = F.ceil(F.col("members") / MEMBERS).cast("int"), F.ceil(F.col("strays") / STRAYS).cast("int")
-    deal = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
-    each = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
-    members = labels.select(F.col("label").alias("main"), F.col("node").alias("rep")).join(sizes, "main").select("main", "rep", deal(chunks).alias("chunk"), each(blocks).alias("block"))
-    strays = stray.join(sizes, "main").select("main", "rep", deal(blocks).alias("block"), each(chunks).alias("chunk"))
-    cells = ("main", "chunk", "block")
-    left, right = (x.join(sets, "rep").select(*(F.col(c).alias(f"{at}_{c}") for c in (*cells, "rep", "set", "sig"))) for x, at in ((members, "own"), (strays, "other")))
-    left, right = left.groupBy(*(f"own_{c}" for c in cells)), right.groupBy(*(f"other_{c}" for c in cells))
-
-    def cell(own: pa.Table, others: pa.Table) -> pa.Table:
-        a: list[int] = []
-        b: list[int] = []
-        if own.num_rows and others.num_rows:
-            sigs = np.frombuffer(b"".join(own.column("own_sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-            ids, data = own.column("own_rep").to_pylist(), own.column("own_set")
-            for rep, sig, raw in zip(others.column("other_rep").to_pylist(), others.column("other_sig").to_pylist(), others.column("other_set").to_pylist()):
-                equal, x = (sigs == np.frombuffer(sig, np.uint16)).sum(axis=1), np.frombuffer(raw, np.uint64)
-                for i in np.argsort(-equal, kind="stable"):
-                    if equal[i] < LIKELY:
-                        break
-                    y = np.frombuffer(data[int(i)].as_py(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= 75 * max(len(x), len(y)) else 0
-                    if 100 * both >= 75 * (len(x) + len(y) - both):
-                        a.append(rep)
-                        b.append(ids[int(i)])
-                        break
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return left.cogroup(right).applyInArrow(cell, "a long, b long")
+    return stage(old.unionByName(added), "labels")
 
 
 def _crowds(full: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,9 +327,10 @@ def _cell(table: pa.Table, lo: int, hi: int, a: list[int], b: list[int]) -> None
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest linked doc_id), kept.
 
-    ``docs`` needs doc_id and text; other columns are not read. Null and wordless texts have 0 shingles and link with
-    nothing, equal sets always link, a row without doc_id stands alone (component_id null, kept true), a repeated doc_id
-    gives its row each time and links by any of its texts.
+    ``docs`` needs doc_id and text; other columns, whatever their names, are not read. Null and wordless texts have 0
+    shingles and link with nothing, equal sets always link, a row without doc_id stands alone (component_id null, kept
+    true), a repeated doc_id gives its row each time and links by any of its texts. Very long texts are shingled whole; a
+    task holds a batch of them. Ties do not matter: a component is named by its smallest doc_id. No rows give no rows.
     """
     marks = stage(_signatures(docs), "signatures")
     known = marks.where("same is not null and doc_id is not null")
@@ -390,7 +346,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def setup():
         return lambda doc_id, text: [(doc_id, shingles(text).tobytes())]
 
-    ends = stage_narrow(ends, "ends", reps.count())
+    ends = stage(ends, "ends")
     # Distinct before the sets are made: the join has dealt the rows by doc_id already, and texts are shorter than sets.
     wanted = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", "text").distinct()
     sets = stage(map_rows(wanted, "rep long, set binary", setup), "sets")
@@ -401,7 +357,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     late = stage(_links(stage(more, "more"), sets), "late")
     first = _joined(first, late)
     signed = sets.join(reps.select("rep", "sig"), "rep")
-    first = _joined(first, _strays(full, first, signed))
     first = _joined(first, _crowds(full, first, reps, signed))
     same = reps.select("same", "rep")
     out = marks.select("doc_id", "n", "same").join(same, "same", "left")
