@@ -8,7 +8,7 @@ is a split at the markers. The loss mask is an array of [start, end) spans in co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: What is escaped, in this order, and as what.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
@@ -38,29 +38,37 @@ def _unescape_role(c: Column) -> Column:
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (array of start, end) for each conv_id of ``rows`` (conv_id, turn, role, text).
 
-    Null roles and texts are empty. Turns go by turn (null first), then role and text, so that repeated rows have one order;
-    a null conv_id is a conversation too.
+    Null roles and texts are empty. Turns go by turn (null first), then role and text, so that repeated rows, each of which
+    is a turn, have one order; a null conv_id is a conversation too. No rows give no rows; other columns are not read. A
+    turn's place is a running sum over the sorted turns, so a conversation costs its length times the sort; its text is one
+    value, so it must stay below Spark's 2 GB.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    turns = turns.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), _escape_role(t["role"]).alias("name"), escape(t["text"]).alias("text"))))
-    first = lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"])
-    turns = turns.withColumn("n", F.size("turns")).withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("n") - 1), first))
+    said = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = said.withColumn("name", _escape_role(F.col("role"))).withColumn("body", escape(F.col("text")))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    last = F.lag("role").over(order)
+    opens = last.isNull() | (last != F.col("role"))
+    # Of "<s>", the name and a line break, after "</s>" if this isn't the first block; of "<t>" within a block.
+    before = F.when(last.isNull(), F.length("name") + 4).when(opens, F.length("name") + 8).otherwise(3).cast("long")
+    own = F.length("body").cast("long")
+    placed = said.select("conv_id", "role", "name", "body", opens.alias("opens"), (before + own).alias("size"), "turn", "text")
+    placed = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    turn = F.struct("end", (F.col("end") - own).alias("start"), "opens", (F.col("role") == LEARNED).alias("learned"), "name", "body")
+    turns = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).withColumn("n", F.size("turns"))
+    turns = turns.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("turns", i)["opens"]))
     block = lambda s, k: F.concat(
-        F.lit("<s>"), F.get("turns", s)["name"], F.lit("\n"), F.array_join(F.transform(F.slice("turns", s + 1, F.coalesce(F.get("starts", k + 1), F.col("n")) - s), lambda t: t["text"]), "<t>"), F.lit("</s>")
+        F.lit("<s>"), F.get("turns", s)["name"], F.lit("\n"), F.array_join(F.transform(F.slice("turns", s + 1, F.coalesce(F.get("starts", k + 1), F.col("n")) - s), lambda t: t["body"]), "<t>"), F.lit("</s>")
     )
-    before = lambda t, i: F.when(first(i), F.length(t["name"]) + F.when(i == 0, 4).otherwise(8)).otherwise(3)
-    sized = F.transform("turns", lambda t, i: F.struct(before(t, i).cast("long").alias("before"), F.length(t["text"]).cast("long").alias("own"), (t["role"] == LEARNED).alias("learned")))
-    span = lambda a, x: F.struct((a["at"] + x["before"]).alias("start"), (a["at"] + x["before"] + x["own"]).alias("end"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    step = lambda a, x: F.struct((a["at"] + x["before"] + x["own"]).alias("at"), F.when(x["learned"], F.concat(a["spans"], F.array(span(a, x)))).otherwise(a["spans"]).alias("spans"))
-    return turns.select("conv_id", F.array_join(F.transform("starts", block), "").alias("formatted"), F.aggregate(sized, zero, step, lambda a: a["spans"]).alias("loss_spans"))
+    learned = F.filter("turns", lambda t: t["learned"])
+    spans = F.transform(learned, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return turns.select("conv_id", F.array_join(F.transform("starts", block), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (array of role, text), loss (array of text): the inverse of ``format_chats``.
 
-    The text under the loss mask is read from ``formatted`` at the spans' places.
+    The text under the loss mask is read from ``formatted`` at the spans' places. No rows give no rows; a null conv_id and
+    other columns stay; repeated rows are read each time.
     """
     blocks = F.transform(F.filter(F.split("formatted", "</s>"), lambda b: b != ""), lambda b: F.substring(b, F.lit(4), F.length(b)))
     opened = F.transform(blocks, lambda b: F.struct(F.substring_index(b, "\n", 1).alias("name"), F.split(F.substring(b, F.length(F.substring_index(b, "\n", 1)) + 2, F.length(b)), "<t>").alias("texts")))
@@ -71,7 +79,7 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """The digest columns of formatted conversations, from what is read back."""
+    """The digest columns of formatted conversations, from what is read back: one row for each row of ``formatted``."""
     back = parse_chats(formatted)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")

@@ -100,7 +100,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, setup: Callable[[], Call
                 for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     for made_row in fn(*row):
                         out.append(made_row)
-                        held += sum(len(x) for x in made_row if isinstance(x, (str, bytes, list)))
+                        held += sum(len(x) for x in made_row if hasattr(x, "__len__"))
                         if len(out) >= rows or held >= size:
                             yield made()
                             out, held = [], 0

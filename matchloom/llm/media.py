@@ -1,4 +1,9 @@
-"""Media columns: texts' bytes as WAV, short-time Fourier transforms and spectral-peak pair fingerprints."""
+"""Media columns: texts' bytes as WAV, short-time Fourier transforms and spectral-peak pair fingerprints.
+
+A text's bytes are the samples of a WAV file. Its spectrogram's local maxima, in time and in frequency, are the peaks; each
+peak is paired with the next ones a few frames later. A fingerprint is two arrays of equal length: the frame of each pair's
+first peak, and a code of both frequencies and their distance in time.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +20,14 @@ from matchloom.llm.common import map_rows
 RATE = 8_000
 FRAME = 256
 HOP = 128
-FAN = 3
+#: A peak is the largest value within so many frames and frequency bins to either side, and at least FLOOR.
+FRAMES, BINS, FLOOR = 3, 10, 16.0
+#: A peak is paired with the next FAN peaks of later frames, of SPAN frames at most.
+FAN, SPAN = 3, 15
+#: Bins from which on a constant signal leaves nothing.
+LOWEST = 2
 _CHUNK = 2_048
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -36,30 +46,53 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
-    """The strongest frequency bin (DC and its neighbour left out) of each frame of a short-time Fourier transform."""
-    n = max(1, -(-max(0, len(samples) - FRAME) // HOP) + 1)
+def _frames(samples: np.ndarray) -> np.ndarray:
+    n = -(-max(0, len(samples) - FRAME) // HOP) + 1
     padded = np.full((n - 1) * HOP + FRAME, 128, np.uint8)
     padded[: len(samples)] = samples
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
-    out = np.empty(n, np.int64)
-    for at in range(0, n, _CHUNK):
-        part = (frames[at : at + _CHUNK].astype(np.float32) - np.float32(128)) * _WINDOW
-        power = np.abs(np.fft.rfft(part, axis=1))[:, 2:]
-        out[at : at + _CHUNK] = power.argmax(axis=1) + 2
-    return out
+    return np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
+
+
+def spectrogram(frames: np.ndarray) -> np.ndarray:
+    """Magnitudes by frame and frequency bin, of bins from LOWEST on."""
+    return np.abs(np.fft.rfft((frames.astype(np.float32) - np.float32(128)) * _WINDOW, axis=1))[:, LOWEST:].astype(np.float32)
+
+
+def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, bins) of the spectrogram's local maxima in order; of equal values next to each other the first counts.
+
+    Frames are transformed a chunk at a time, with FRAMES more on either side, so memory doesn't follow the length.
+    """
+    frames, times, bins = _frames(samples), [], []
+    for at in range(0, len(frames), _CHUNK):
+        lo, hi = max(0, at - FRAMES), min(len(frames), at + _CHUNK + FRAMES)
+        x = spectrogram(frames[lo:hi])
+        n, width = x.shape
+        edged = np.zeros((n, width + 2 * BINS), np.float32)
+        edged[:, BINS:-BINS] = x
+        left, right = edged[:, :width].copy(), edged[:, 2 * BINS :].copy()
+        for d in range(1, BINS):
+            np.maximum(left, edged[:, d : d + width], out=left)
+            np.maximum(right, edged[:, BINS + d : BINS + d + width], out=right)
+        found = (x > left) & (x >= right) & (x >= FLOOR)
+        around = np.maximum(np.maximum(left, right), x)
+        for d in range(1, FRAMES + 1):
+            found[d:] &= x[d:] > around[:-d]
+            found[:-d] &= x[:-d] >= around[d:]
+        t, b = np.nonzero(found[at - lo : at - lo + _CHUNK])
+        times.append(t + at)
+        bins.append(b + LOWEST)
+    return np.concatenate(times), np.concatenate(bins)
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes): each frame's peak paired with those of the next FAN frames; a code holds both bins and the distance."""
-    p = peaks(samples)
-    times = [np.arange(len(p) - d) for d in range(1, FAN + 1) if len(p) > d]
-    codes = [(p[:-d] << 16) | (p[d:] << 4) | d for d in range(1, FAN + 1) if len(p) > d]
-    if not times:
-        return np.zeros(1, np.int64), p[:1] << 16
-    t, c = np.concatenate(times), np.concatenate(codes)
-    order = np.lexsort((c, t))
-    return t[order], c[order]
+    """(times, codes), 32-bit, in order of the pairs' peaks: code = first bin << 20 | second bin << 10 | frames between."""
+    t, b = peaks(samples)
+    first = np.searchsorted(t, t, side="right")
+    other = first[:, None] + np.arange(FAN)
+    valid = other < np.searchsorted(t, t + SPAN, side="right")[:, None]
+    i, j = np.nonzero(valid)[0], other[valid]
+    return t[i].astype(np.int32), (b[i] << 20 | b[j] << 10 | (t[j] - t[i])).astype(np.int32)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -69,21 +102,27 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """doc_id, media (WAV), fingerprints (array of frame time and code) of each row of ``docs`` (doc_id, text)."""
+    """doc_id, media (WAV), times and codes (arrays) of each row of ``docs`` (doc_id, text; other columns are not read).
+
+    A null text is empty: 64 samples. Long texts are one WAV each, so they must stay below Spark's 2 GB. A null doc_id stays,
+    a repeated row is encoded again, equal texts give equal values; no rows give no rows.
+    """
 
     def setup():
         def one(doc_id, text):
             media = to_wav(payload_of(text)[0])
-            t, c = fingerprint(np.frombuffer(from_wav(media), np.uint8))
-            return [(doc_id, media, [{"time": int(a), "code": int(b)} for a, b in zip(t, c)])]
+            return [(doc_id, media, *fingerprint(np.frombuffer(from_wav(media), np.uint8)))]
 
         return one
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, media binary, fingerprints array<struct<time long, code long>>", setup, rows=256)
+    return map_rows(docs.select("doc_id", "text"), "doc_id long, media binary, times array<int>, codes array<int>", setup, rows=256)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Digest columns of the media and fingerprints of each row; null text is empty. Equal texts give equal values."""
+    """Digests of what ``encode`` gives for each row, in one pass, and the time-coded arrays. Rows as there.
+
+    ``feature`` is the number of pairs and the SHA-256 of both arrays as little-endian 32-bit integers, times first.
+    """
 
     def setup():
         def one(doc_id, text):
@@ -91,10 +130,10 @@ def digest(docs: DataFrame) -> DataFrame:
             media = to_wav(payload)
             back = from_wav(media)
             t, c = fingerprint(np.frombuffer(back, np.uint8))
-            feature = f"{len(t)}:{hashlib.sha256(np.stack([t, c]).astype('<i8').tobytes()).hexdigest()}"
-            return [(doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)]
+            feature = f"{len(t)}:{hashlib.sha256(t.astype('<i4').tobytes() + c.astype('<i4').tobytes()).hexdigest()}"
+            return [(doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, t, c)]
 
         return one
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
     return map_rows(docs.select("doc_id", "text"), schema, setup)

@@ -5,11 +5,12 @@ rows, goes to the driver. Patterns of two or three lengths that fill a sequence
 least squares against the histogram; the counts are rounded down to what the histogram holds, and the rest is packed best
 fit, longest first, on counts of equal lengths. The plan is a list of patterns with counts, so its size doesn't follow the
 corpus. Pieces find their place by their rank among those of equal length, which two levels of counts give without a
-global sort: within hash buckets of about BUCKET_ROWS rows, and over the buckets.
+global sort: within a fixed number of hash buckets, and over the buckets. Pieces that fill a sequence need no rank.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -21,10 +22,11 @@ from matchloom.llm.common import map_rows, stage
 
 CAPACITY = 1024
 END = 2
-BUCKET_ROWS = 4000
+#: Buckets in which pieces of equal length are ranked.
+BUCKETS = 512
 CACHE = 250_000
-#: Characters for which the two libraries' white space and number classes could differ: odd blanks, numbers that aren't digits, marks.
-_ODD = re.compile("[^\n\r\t\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏͰ-ϿЀ-ҁ一-龥]")
+#: A blank after a character that is white space in no library's view.
+_BEFORE_BLANK = re.compile("(?<=[^\\s\u180e\u200b\u2060\ufeff])(?=[ \\n\\r\\t])")
 
 
 @lru_cache(maxsize=2)
@@ -37,57 +39,61 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=2)
-def _ranks(path: str):
-    """The same vocabulary as ranks for tiktoken: a byte-level BPE file lists tokens in the order of their merges."""
-    import tiktoken
+def splits_at_blanks(tokenizer) -> bool:
+    """Whether the file's own settings make a blank after a visible character the start of a new word in any text.
 
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    t = _tokenizer(path)
-    special = {x.content for x in t.get_added_tokens_decoder().values()}
-    ranks = {bytes(byte[c] for c in w): i for w, i in t.get_vocab().items() if w not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    So it is for byte-level pre-tokenization with its regular expression, without a normalizer, a prefix space, truncation
+    or dropout.
+    """
+    said = json.loads(tokenizer.to_str())
+    pre = said["pre_tokenizer"] or {}
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    plain = not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
+    return bool(byte_level and plain and said["model"].get("type") == "BPE" and not said["model"].get("dropout"))
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer file, as little-endian 32-bit bytes.
+    """Ids of texts by a tokenizer file, as little-endian 32-bit bytes; the tokenizers library makes every id.
 
     Words repeat, so a text is cut before its blanks, where no token reaches over, and the ids of each word are kept in two
-    generations of bounded size. A new word is encoded with the same vocabulary as ranks; texts with characters or
-    special tokens that could make a difference go through the tokenizer itself, whole.
+    generations of bounded size. Texts that hold a special token are encoded whole, as are all texts if the file's settings
+    don't split at blanks.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.fast = _tokenizer(path), _ranks(path)
+        self.tokenizer = _tokenizer(path)
+        self.cuts = splits_at_blanks(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if any(s in text for s in ("  ", "\n ", "\r ", "\t ")):
+        if not self.cuts or any(s in text for s in self.special):
             return self._whole(text)
-        first, *words = text.split(" ")
-        young, old = self.young, self.old
-        for w in words:
-            if w not in young:
-                kept = old.get(w)
-                young[w] = self._whole(" " + w) if kept is None else kept
-        out = (self._whole(first) if first else b"") + b"".join([young[w] for w in words])
+        words, young, old = _BEFORE_BLANK.split(text), self.young, self.old
+        new = {w for w in words if w not in young}
+        if new:
+            young.update((w, old[w]) for w in new if w in old)
+            rest = [w for w in new if w not in old]
+            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+                young[w] = np.array(e.ids, "<u4").tobytes()
+        out = b"".join([young[w] for w in words])
         if len(young) > CACHE:
             self.old, self.young = young, {}
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for a worker process, so that what it knows of words outlives a task."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked, ids of each piece of each row of ``docs`` (doc_id, text).
 
@@ -96,7 +102,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     """
 
     def setup():
-        encode, last = Encoder(path), int(end).to_bytes(4, "little")
+        encode, last = encoder(path), int(end).to_bytes(4, "little")
 
         def one(doc_id, text):
             ids = encode(text or "") + last
@@ -213,9 +219,17 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (doc_id, piece, start, length, ids_crc32 and more) with sequence_id and offset. ``cut`` is read three times: stage it."""
-    histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(histogram.values())
+    """``cut`` (doc_id, piece, start, length, ids_crc32 and more, none of them named at, bucket, own or before) with sequence_id and offset.
+
+    A piece that fills a sequence gets one of its own, with a negative number, without a shuffle. The others are dealt by
+    their place in the staged table into BUCKETS buckets; the table of counts by bucket and length has at most BUCKETS x
+    (capacity - 1) rows of 24 bytes, 12 MB at 1024 tokens, however large the corpus is, and no length is ranked in one task.
+    """
+    cut = stage(cut.withColumn("at", F.monotonically_increasing_id()), "pieces")
+    own = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("at")).withColumn("offset", F.lit(0).cast("long"))
+    rest = cut.where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(BUCKETS)).cast("int"))
+    counts = stage(rest.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     keys, base, offsets, taken, sequence = [], [], [], dict.fromkeys(histogram, 0), 0
     for content, n in plan(histogram, capacity):
         at = 0
@@ -229,14 +243,11 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = np.argsort(np.array(keys, np.int64)) if keys else []
     keys, base, offsets = (np.array(x, np.int64)[order] if len(x) else np.zeros(0, np.int64) for x in (keys, base, offsets))
 
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    counts = stage(dealt.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = stage(counts.select("bucket", "length", before.alias("before")), "before")
-    own = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = dealt.withColumn("own", own).join(counts, ["bucket", "length"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("bucket", "own", "before")
-    return _look_up(ranked, keys, base, offsets)
+    rank = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("at"))
+    ranked = rest.withColumn("own", rank).join(counts, ["bucket", "length"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("bucket", "own", "before")
+    return _look_up(ranked, keys, base, offsets).unionByName(own).drop("at")
 
 
 def _look_up(ranked: DataFrame, keys: np.ndarray, base: np.ndarray, offsets: np.ndarray) -> DataFrame:
@@ -260,6 +271,8 @@ def _look_up(ranked: DataFrame, keys: np.ndarray, base: np.ndarray, offsets: np.
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
 
-    No rows give no rows; a repeated row is packed each time; a null doc_id is packed like any other.
+    ``docs`` needs doc_id and text; other columns are not read. No rows give no rows; null and empty texts are their end
+    token; a repeated row is packed each time; a null doc_id is packed like any other. Long texts are encoded whole, one at
+    a time, and cut by tokens.
     """
-    return place(stage(pieces(docs, path, capacity, end, with_ids), "pieces"), capacity)
+    return place(pieces(docs, path, capacity, end, with_ids), capacity)

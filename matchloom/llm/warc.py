@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,12 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from matchloom.llm.common import map_rows, new_path, stage
+from matchloom.llm.common import counted_stage, map_rows, new_path, stage
 
 #: Payloads of fewer bytes are never revisits. Bytes of a byte range, and of an archive before the next is begun.
 LEAST_REVISIT = 1000
 RANGE = 8 << 20
 ARCHIVE = 256 << 20
+#: Rows of 40-byte digests and ids that may be broadcast: about 50 MB.
+BROADCAST_DIGESTS = 500_000
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 256 << 10
 
@@ -48,28 +51,37 @@ def _gzip(data: bytes, level: int = 6) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, html and refers_to: for pages whose payload of at least ``least`` bytes a page of larger id has too, that largest id."""
+def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT, most: int = BROADCAST_DIGESTS) -> DataFrame:
+    """page_id, url, html and refers_to: for pages whose payload of at least ``least`` bytes a page of larger id has too, that largest id.
+
+    Payloads are compared by digest on rows of digest and page_id alone. The table of digests that occur again is broadcast
+    if it has at most ``most`` rows, so that html stays where it was read; beyond that the pages are dealt by digest, where
+    adaptive execution splits a digest that a third of the pages share. A null html is empty. A null page_id refers to the
+    largest id of its payload if there is one; rows of one repeated page_id don't refer to themselves: of the largest id,
+    every row is a response.
+    """
     data = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     large = pages.select("page_id", "url", "html", F.when(F.octet_length(data) >= least, F.sha1(data)).alias("same"))
-    twice = large.where("same is not null").groupBy("same").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    own = F.coalesce("same", F.concat(F.lit("own-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("-"), F.crc32(F.encode(F.coalesce("url", F.lit("")), "UTF-8")).cast("string")))
-    joined = large.withColumn("same", own).join(stage(twice, "payloads"), "same", "left")
+    narrow = large.where("same is not null").select("same", "page_id")
+    twice = narrow.groupBy("same").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1 and largest is not null")
+    twice, n = counted_stage(twice.drop("n"), "payloads")
+    own = F.concat(F.lit("own-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("-"), F.crc32(F.encode(F.coalesce("url", F.lit("")), "UTF-8")).cast("string"))
+    joined = large.withColumn("same", F.coalesce("same", own)).join(F.broadcast(twice) if n <= most else twice, "same", "left")
     return joined.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write page_id, url, html, refers_to rows to ``folder``; gives the manifest: path, bytes, records.
 
-    ``folder`` is a URI that all executors share. Each task writes files of its own under fresh names.
+    ``folder`` is a URI that all executors share. Each task writes files of its own under fresh names. Rows are written as
+    they come: a null html is empty, a null page_id has an empty record id, a repeated row is written again, a record is held
+    whole in memory. No rows give an empty manifest.
     """
     schema = T._parse_datatype_string("path string, bytes long, records long")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
         out, path, n, done = None, "", 0, []
         for batch in batches:
@@ -94,6 +106,25 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, schema)
 
 
+def filesystem(uri: str):
+    """(file system, path in it) of a URI as Spark writes it.
+
+    The names that only Hadoop has for a store are mapped to those of the Arrow file systems: s3a and s3n to s3, dbfs to its
+    mount /dbfs. A scheme that no Arrow file system has raises a ValueError that names it.
+    """
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), re.sub("^/+", "/", rest if colon else uri)
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"archives can't be kept at {uri}: no file system for {scheme}:") from e
+
+
 class _Buffer:
     """Bytes of a file from a position on, read as they are needed."""
 
@@ -179,14 +210,13 @@ def _page(urn: str | None) -> int | None:
 def read_archives(manifest: DataFrame, split: int = RANGE, with_payload: bool = True) -> DataFrame:
     """One row per record of the archives in ``manifest`` (path, bytes): page_id, record_type, target_uri, refers_to, payload_bytes, payload_digest[, payload].
 
-    The digest is recomputed for a payload and must equal the header's; a revisit has its header's digest and length.
+    The digest is recomputed for a payload and must equal the header's; a revisit has its header's digest and length. An
+    empty manifest gives no rows.
     """
 
     def setup():
-        from pyarrow import fs
-
         def one(path, size, start, end):
-            system, at = fs.FileSystem.from_uri(path)
+            system, at = filesystem(path)
             with system.open_input_file(at) as f:
                 for offset, record in records(f, size, start, end):
                     head, block = parse(record)
@@ -209,5 +239,5 @@ def read_archives(manifest: DataFrame, split: int = RANGE, with_payload: bool =
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html) to archives in the shared folder; gives their manifest."""
+    """Writes ``pages`` (page_id, url, html; other columns are not read) to archives in the shared folder; gives their manifest."""
     return stage(write_archives(with_revisits(pages), new_path(spark, "warc")), "manifest")
