@@ -12,30 +12,58 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known: those with a letter and no narrow margin. Rows without doc_id stay or go by their text."""
+    """Keeps documents whose language is known: those with a letter and no narrow margin.
+
+    Only the text decides, the whole of it: null and empty texts go, equal texts share their fate, rows without doc_id or with
+    a repeated one are judged like others. No rows give no rows; other columns than those of documents are left out.
+    """
     model = langid.fit(queries.language_training(docs))
     return _kept(docs, lambda: langid.Classifier(model), lambda c, text: not c.predict(text)[2])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a toxicity score below 0.5."""
+    """Keeps documents with a toxicity score below 0.5.
+
+    Null and empty texts have the rate of labelled examples without words; without labels all documents stay. Repeated rows
+    and equal texts share their fate; long texts are read whole; no rows give no rows.
+    """
     model = toxicity.fit(docs, queries.toxic_training(read(spark, sf_dir, "labels")))
     return _kept(docs, lambda: model, lambda m, text: m.score(text)[0] < 0.5)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates; all rows without doc_id."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows whose doc_id is null or repeated are documents of their own: each is numbered above the largest doc_id, so a copy
+    with an id of its own goes first and one of equal rows stays. Null, empty and wordless texts are no duplicates; long
+    texts are read whole; no rows give no rows; other columns than those of documents are left out.
+    """
+    docs = docs.select(*COLUMNS)
+    twice = stage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return docs.join(_gone(docs), "doc_id", "left_anti").select(*COLUMNS)
+    most = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    own = docs.join(twice, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
+    odd = docs.join(twice, docs["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").withColumn("key", F.monotonically_increasing_id() + F.lit(most + 1))
+    keyed = stage(own.unionByName(odd), "keyed")
+    gone = _gone(keyed.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
+    return keyed.join(gone, "key", "left_anti").select(*COLUMNS)
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    return stage(neardup.near_duplicates(docs).where("not kept").select("doc_id"), "gone")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by a mark and counts n_chars anew."""
+    """Replaces secrets in texts by a mark and counts n_chars anew: every row stays, a null text stays null.
+
+    Texts are scanned whole; overlapping spans become one mark; equal texts stay equal; no rows give no rows.
+    """
     return secrets.redact(docs.select(*COLUMNS), secrets.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences: one row per piece."""
+    """Packs the texts into sequences: one row per piece. Null and empty texts are their end token; repeated rows are packed each time."""
     return packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"))
 
 
