@@ -150,40 +150,90 @@ def test_language_margin_rejects_gibberish_and_mixtures(spark):
     assert found == got
 
 
-def test_secrets_base_and_chain(spark):
+def secret_docs(spark):
+    r = random.Random(5)
+    code = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    rows = [(i, " ".join(language(r, 60)) + (f'. Token = "{code(40)}" and more words 2024-01-{i % 28:02d} end' if i % 4 == 0 else "")) for i in range(300)]
+    return rows + [(900, None), (901, ""), (902, "x" * 100_000 + " 1" * 1000), (None, "a b"), (903, "twice"), (903, "twice")]
+
+
+def language(r, n):
+    parts = ["ka", "ro", "mi", "ten", "so", "lu", "dar", "in", "es", "po"]
+    return ["".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(n)]
+
+
+def test_secrets_base_spans():
     t = 'token = "abcdefghijkl" ſecret=abcdefghijkl token= secret: aaaaaaaaaaaa AKIA' + "A" * 14 + " " + "0123456789abcdef" + " é password=short"
     want = [("assign", 0, 21), ("access", t.index("AKIA"), t.index("AKIA") + 18), ("hex", t.index("0123"), t.index("0123") + 16)]
     assert [(secrets.KINDS[k], s, e) for s, e, k in secrets.base_spans(t)] == want
-    r = random.Random(5)
-    code = lambda n: "".join(r.choices("0123456789abcdef", k=n))
-    rows = [(i, f"word other {i % 7}.5 token = \"{code(40)}\" more words 2024-01-{i % 28:02d} end") for i in range(60)] + [(900, None), (901, ""), (902, "x" * 100_000 + " 1" * 1000)]
+
+
+def test_secrets_chain_finds_what_base_patterns_miss(spark):
+    rows = secret_docs(spark)
     docs = frame(spark, rows)
     model = secrets.fit(docs)
-    found = secrets.spans("please use key = \"" + "7f3" + "g9k2m4n5p6q7r8s9t0v1w2x3y4z5a6b7c8" + "\" now", model)
-    assert any(k == 3 for *_, k in found)
-    assert secrets.spans("we met on 2024-01-02 at 10:30", model) == []
-    assert secrets.digest(docs, model).count() == 63
-    red = {x.doc_id: x.text for x in secrets.redact(docs, model).collect()}
-    assert "[SECRET]" in red[0] and red[900] is None and red[902] == rows[-1][1]
-    assert secrets.scan(docs.limit(0), secrets.fit(docs.limit(0))).count() == 0
+    r = random.Random(6)
+    # None of these leads and prefixes is planted in training.
+    forms = ["Authorization: Bearer %s", "ghp_%s", "xoxb-%s", "client_auth = %s", "my key is %s", "credential to %s"]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    found = 0
+    for i in range(120):
+        value = "".join(r.choices(alphabets[i % 2], k=36))
+        before = " ".join(language(r, 30)) + " "
+        text = before + forms[i % 6] % value + " " + " ".join(language(r, 30))
+        at = text.index(value)
+        found += any(s <= at + 1 and e >= at + 36 for s, e, _ in secrets.spans(text, model))
+    assert found >= 108
+    clean = [" ".join(language(r, 80)) + f" on 2024-05-{i % 28:02d} at 10:30 see https://karo.mi/dar/ten-{i}, call +49 30 1234567 or v1.{i}.2" for i in range(200)]
+    assert sum(bool(secrets.chain_spans(t, model)) for t in clean) <= 2
+    # A long text is scanned to its end.
+    long = " ".join(language(r, 60_000))
+    assert [text_of for text_of in [long[s:e] for s, e, _ in secrets.spans(long + " my key is Zk3v9QmT7xLw2RbYp8NsHd4Gf6Jc end", model)]] == [""]
+    assert secrets.digest(docs, model).count() == len(rows)
+    red = {x.doc_id: x for x in secrets.redact(docs, model).collect()}
+    assert "[SECRET]" in red[0].text and red[900].text is None and red[901].text == "" and red[0].kept is None
+    scanned = {x.doc_id: [tuple(y) for y in x.spans] for x in secrets.scan(docs, model).collect()}
+    assert scanned[900] == scanned[901] == [] and scanned[0][0][0] == "assign"
+    empty = secrets.fit(docs.limit(0))
+    assert secrets.scan(docs.limit(0), empty).count() == 0 and secrets.spans(rows[0][1], empty) == secrets.base_spans(rows[0][1])
+
+
+def random_model(seed):
+    r = random.Random(seed)
+    model = secrets.Crf()
+    names = [f"size:{i}" for i in range(12)] + [f"mask:{m}" for m in ("a", "aA", "0", "a0", "A")] + [f"{p}:{c}" for p in secrets.PLACES for c in ("word", "digit", "mark", "edge")]
+    model.emit = {f: np.array([r.uniform(0, 2), r.uniform(-2, 1), r.uniform(-2, 1)]) for f in names}
+    model.move = np.array([[r.uniform(-1, 1) for _ in range(3)] for _ in range(3)])
+    model.move[0, 2] = -1e9
+    model._forget()
+    return model
 
 
 def test_viterbi_equals_enumeration():
     import itertools
 
     r = random.Random(2)
-    model = secrets.Crf()
-    model.emit = {f"f{i}": [r.uniform(-2, 2) for _ in range(3)] for i in range(6)}
-    model.move = [[r.uniform(-1, 1) for _ in range(3)] for _ in range(3)]
-    model.move[0][2] = -1e9
-    seq = [[f"f{r.randrange(6)}" for _ in range(3)] for _ in range(6)]
-    s = model.scores(seq)
-
-    def value(path):
-        full = [0, *path, 0]
-        return sum(model.move[a][b] for a, b in zip(full, full[1:])) + sum(s[i][y] for i, y in enumerate(path))
-
-    assert value(model.viterbi(seq)) == pytest.approx(max(value(p) for p in itertools.product(range(3), repeat=6)))
+    model = random_model(2)
+    for _ in range(20):
+        s = np.array([[r.uniform(-2, 2) for _ in range(3)] for _ in range(6)])
+        value = lambda path: sum(model.move[a, b] for a, b in zip([0, *path], [*path, 0])) + sum(s[i, y] for i, y in enumerate(path))  # noqa: E731, B023
+        assert value(model.viterbi(s)) == pytest.approx(max(value(p) for p in itertools.product(range(3), repeat=6)))
+
+
+def test_stretches_give_the_best_path_of_the_whole_text():
+    r, cut = random.Random(3), 0
+    for seed in range(8):
+        model = random_model(seed)
+        for _ in range(25):
+            words = [r.choice(["ab", "Cd", "12", "a1b2c3d4e5f6", "-", "longerword", "QRSTUVWXYZ12", "."]) for _ in range(60)]
+            whole = model.viterbi(model.scores(words, []))
+            parts, covered = [0] * 60, 0
+            for first, labels in model.labels(words, []):
+                parts[first : first + len(labels)] = labels
+                covered += len(labels)
+            cut += covered < 60
+            assert parts == whole
+    assert cut > 20
 
 
 def test_chat_round_trip(spark):
@@ -213,7 +263,7 @@ def test_topk_equals_brute_force(spark):
     v[50:60] = v[50]
     rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)] + [(1000, None), (1020, [1.0, None]), (1040, [float("nan")] * 12), (1060, [float("inf")] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").where(topk.usable("embedding")).select("vec_id", topk.integers("embedding").alias("vector"))
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, shard=64, block=5).collect()
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, cell=12 * 64, least_shard=1).collect()
     w = np.floor(64 * v.astype(np.float64)).astype(int)
     want = set()
     for q in range(0, 300, 20):
@@ -223,6 +273,46 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_shards_share_thresholds_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-9, 9, (400, 8))
+    rows = [(i % 390, a.tolist(), "x", 1) for i, a in enumerate(v)] + [(None, [1] * 8, "x", 1), (7, None, "x", 1), (1000, [], "x", 1), (1001, [5], "x", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>, query_id string, score int")
+    full = [(i, np.r_[np.array(a, int), np.zeros(8 - len(a), int)]) for i, a, *_ in rows if i is not None and a is not None]
+    asked = {}
+    for i, a, *_ in rows:
+        if i is not None and a is not None and i % 20 == 0:
+            asked[i] = min(asked.get(i, a), a)
+    want = set()
+    for q, a in asked.items():
+        a = np.r_[np.array(a, int), np.zeros(8 - len(a), int)]
+        best = sorted((-int(a @ x), i) for i, x in full if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    for cell, least in ((10**6, 10**6), (8 * 50, 1), (8 * 7, 1)):
+        assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, cell=cell, least_shard=least).collect()} == want
+
+
+def test_topk_skips_lists_and_probes_few():
+    rng = np.random.default_rng(4)
+    v = np.floor(rng.normal(size=(6000, 64)) * 8 * np.linspace(3, 0.2, 64)).astype(np.float32)
+    lists, work = topk.Lists(np.arange(6000), v), {"there": 0, "traversed": 0, "probed": 0}
+    for q in range(0, 100, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(6000), -s))[:20]
+        got, score = topk.search(lists, q, v[q], 20, s[best[-1]], work)
+        assert got.tolist() == best.tolist() and score.tolist() == s[best].tolist()
+    assert work["traversed"] < 0.7 * work["there"] and work["probed"] < 0.1 * work["there"], work
+
+
+def test_topk_raises_where_sums_could_overflow(spark):
+    df = spark.createDataFrame([(0, [2**40]), (1, [2**40])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+    large = spark.createDataFrame([(0, [2**30, 1]), (1, [2**30, 3]), (2, [2**30, 2])], "vec_id long, vector array<long>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(large, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**60 + 3), (2, 2**60 + 2)]
+
+
 def test_toxicity(spark):
     bad, r = ["grunk", "plof"], random.Random(4)
     rows, labels = [], []
@@ -235,21 +325,58 @@ def test_toxicity(spark):
     got = {x.doc_id: x for x in toxicity.score(frame(spark, [(1, "oh GRUNK here"), (2, "all fine"), (3, None), (4, "")]), model).collect()}
     assert [got[i].predicted for i in (1, 2, 3, 4)] == [1, 0, 0, 0] and got[1].evidence
     assert toxicity.score(docs, toxicity.fit(docs.limit(0), known)).where("predicted = 1").count() == 0
+    # The bound on characters holds, and a few labels are enough for a term to tell.
+    assert 0 < len(toxicity.fit(docs, known, chars=4000).labels) < 40
+    few = toxicity.fit(docs, known.where("doc_id < 60"))
+    assert few.score("a grunk plof")[0] > few.score("w1 w2 w3")[0]
+
+
+def unit_vectors(r, n, terms, at_most):
+    out = []
+    for _ in range(n):
+        t = np.array(sorted(r.sample(range(terms), r.randint(0, at_most))), np.int64)
+        w = np.array([r.random() for _ in t])
+        out.append((t, w / (np.sqrt((w * w).sum()) or 1)))
+    return out
 
 
-def test_nearest_equals_brute_force():
+@pytest.mark.parametrize("dense", [1, 16, 10**6])
+def test_nearest_equals_brute_force(monkeypatch, dense):
+    """With lists of either kind, and both."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     r = random.Random(6)
-    vectors = []
-    for _ in range(900):
-        v = {t: r.random() for t in r.sample(range(40), r.randint(0, 6))}
-        n = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({t: x / n for t, x in v.items()})
-    index = toxicity.Index(vectors, [0] * 900, list(range(900)))
-    for q in vectors[:60]:
-        brute = sorted(((round(sum(x * v.get(t, 0.0) for t, x in q.items()), 12), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        got = index.nearest(q, 15)
-        want = [x for x in brute if x[0] > 1e-9][:15]
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-9) and len(got) == len(want)
+    vectors = unit_vectors(r, 900, 60, 6)
+    index = toxicity.Index(vectors, 60)
+    full = np.zeros((900, 60))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    for q in range(60):
+        cosines = full @ full[q]
+        cosines[q] = 0
+        want = sorted(((-round(float(c), 6), i) for i, c in enumerate(cosines) if c > 1e-6))[:15]
+        got = index.nearest(*vectors[q], 15, skip=q)
+        assert [s for s, _ in got] == pytest.approx([-s for s, _ in want], abs=2e-6) and all(abs(cosines[i] - s) < 2e-6 for s, i in got)
+
+
+def test_nearest_skips_blocks():
+    r = random.Random(7)
+    vectors = [(np.array([g, 100 + r.randrange(50)]), np.array([0.99, 0.14])) for g in range(40) for _ in range(50)]
+    index, work = toxicity.Index(vectors, 150), {"read": 0, "there": 0}
+    for v in vectors[::40]:
+        assert len(index.nearest(*v, 15, work=work)) == 15
+    assert work["read"] < 0.8 * work["there"]
+
+
+def test_encoder_reads_the_files_settings():
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    made = Tokenizer(models.BPE())
+    assert not packing.splits_at_blanks(made)
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert packing.splits_at_blanks(made)
+    made.normalizer = normalizers.Lowercase()
+    assert not packing.splits_at_blanks(made)
+    assert not packing.splits_at_blanks(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def test_encoder_equals_tokenizer():
@@ -281,13 +408,66 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+LONG = " ".join(prose(9, 4000))
+
+
 def test_media(spark):
-    got = {r.doc_id: r for r in media.digest(frame(spark, [(1, "héllo"), (2, "héllo"), (3, None), (4, "x" * 64), (5, "y" * 20_000)])).collect()}
+    got = {r.doc_id: r for r in media.digest(frame(spark, [(1, "héllo"), (2, "héllo"), (3, None), (4, "x" * 64), (5, LONG)])).collect()}
     payload = "héllo".encode().ljust(64, b"\0")
     assert got[1].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[1].tail_crc32 == zlib.crc32(payload) and got[1].n_bytes == 6
     assert got[1][1:] == got[2][1:] and (got[3].n_bytes, got[3].payload_bytes, got[4].payload_bytes, got[4].media_bytes) == (0, 64, 64, 108)
-    tone = (127 + 100 * np.sin(2 * np.pi * 32 * np.arange(4096) / 256)).astype(np.uint8)
-    assert set(media.peaks(tone)) == {32}
+    assert all(len(r.times) == len(r.codes) for r in got.values()) and len(got[5].times) > 20
+    made = {r.doc_id: r for r in media.encode(frame(spark, [(1, "héllo"), (5, LONG), (6, None)])).collect()}
+    for i in (1, 5):
+        assert hashlib.sha256(made[i].media).hexdigest() == got[i].media_sha256 and made[i].times == got[i].times and made[i].codes == got[i].codes
+        packed = np.array(got[i].times, "<i4").tobytes() + np.array(got[i].codes, "<i4").tobytes()
+        assert got[i].feature == f"{len(got[i].times)}:{hashlib.sha256(packed).hexdigest()}"
+    assert media.from_wav(made[6].media) == b"\0" * 64 and media.digest(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [5, 2048])
+def test_peaks_and_pairs_equal_loops(monkeypatch, chunk):
+    monkeypatch.setattr(media, "_CHUNK", chunk)
+    r = np.random.default_rng(5)
+    signals = [r.integers(0, 256, 9000).astype(np.uint8), np.frombuffer(b"abcdefgh" * 900, np.uint8), np.zeros(640, np.uint8)]
+    signals.append((127 + 60 * np.sin(2 * np.pi * 32 * np.arange(4096) / 256) + 50 * np.sin(2 * np.pi * 90 * np.arange(4096) / 256)).astype(np.uint8))
+    for signal in signals:
+        x = media.spectrogram(media._frames(signal))
+        want = []
+        for t in range(len(x)):
+            for b in range(x.shape[1]):
+                around = [(u, c) for u in range(max(0, t - 3), min(len(x), t + 4)) for c in range(max(0, b - 10), min(x.shape[1], b + 11)) if (u, c) != (t, b)]
+                if x[t, b] >= media.FLOOR and all(x[t, b] > x[p] if p < (t, b) else x[t, b] >= x[p] for p in around):
+                    want.append((t, b + media.LOWEST))
+        got = list(zip(*(a.tolist() for a in media.peaks(signal))))
+        assert got == want
+        pairs = []
+        for t, b in want:
+            later = [(u, c) for u, c in want if t < u <= t + media.SPAN][: media.FAN]
+            pairs += [(t, b << 20 | c << 10 | u - t) for u, c in later]
+        assert list(zip(*(a.tolist() for a in media.fingerprint(signal)))) == pairs
+    assert {32, 90} <= set(media.peaks(signals[-1])[1].tolist())
+
+
+def test_warc_file_systems(tmp_path):
+    from pyarrow import fs
+
+    for uri, want in ((f"file://{tmp_path}", str(tmp_path)), (f"file:{tmp_path}", str(tmp_path)), (str(tmp_path), str(tmp_path)), ("dbfs:/a/b", "/dbfs/a/b")):
+        system, at = warc.filesystem(uri)
+        assert isinstance(system, fs.LocalFileSystem) and at == want
+    with pytest.raises(ValueError, match="odd:"):
+        warc.filesystem("odd://x/y")
+
+
+def test_warc_awkward_rows(spark):
+    big, long = "<p>é</p>" * 200, "q" * 3_000_000
+    rows = [(1, "u", big, 5, "x"), (1, "u", big, 5, "x"), (2, "u", big, 5, "x"), (2, "u", big, 5, "x"), (None, "u", big, 5, "x"), (None, None, None, 5, "x"), (4, "v", long, 5, "x"), (5, "v", long, 5, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int, record_type string")
+    for most in (0, 10):
+        manifest = stage(warc.write_archives(warc.with_revisits(df, most=most), warc.new_path(spark, "warc")), "manifest")
+        got = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(manifest).collect()), key=str)
+        want = [(1, "revisit", 2, 1800), (1, "revisit", 2, 1800), (2, "response", None, 1800), (2, "response", None, 1800), (0, "revisit", 2, 1800), (0, "response", None, 0), (4, "revisit", 5, len(long)), (5, "response", None, len(long))]
+        assert got == sorted(want, key=str)
 
 
 def test_bpe(spark):
