@@ -116,3 +116,14 @@ def test_stages_take_awkward_rows(spark, tmp_path):
     assert sizes == [3, 3, 2, 2]
     assert {r.doc_id for r in docs.collect()} == {learned[0], None}
     assert "abcdefghijkl1234" not in docs.where("doc_id is null").first().text
+
+
+def test_dedup_keeps_one_row_of_each_group(spark):
+    """Of repeated and missing ids too: texts of their own stay, copies go."""
+    own = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, own("a")), (2, own("a")), (3, own("b")), (3, own("b")), (4, own("a")), (4, own("c")), (None, own("c")), (None, own("d")), (None, own("d")), (None, None), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "?")[:1]) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()]
+    assert sorted(t for _, t in got) == ["?", "?", "?", "a", "b", "c", "d"]
+    assert (1, "a") in got and (3, "b") in got
+    assert corpus_pipeline.dedup_stage(spark, docs.limit(0), "").count() == 0
