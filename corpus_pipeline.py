@@ -43,7 +43,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if twice.isEmpty():
         return docs.join(_gone(docs), "doc_id", "left_anti").select(*COLUMNS)
     most = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-    own = docs.join(twice, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
+    own = docs.where("doc_id is not null").join(twice, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
     odd = docs.join(twice, docs["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").withColumn("key", F.monotonically_increasing_id() + F.lit(most + 1))
     keyed = stage(own.unionByName(odd), "keyed")
     gone = _gone(keyed.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
