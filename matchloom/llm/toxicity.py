@@ -24,26 +24,23 @@ EXAMPLES = 2_000
 EXAMPLE_CHARS = 32_000_000
 NEIGHBOURS = 15
 BLOCK = 32
-PREFIX = 4
 #: The weight of a term that says nothing about the label, and the chi-squared value that gives half of the rest.
 LEAST_WEIGHT, HALF_CHI = 0.02, 15.0
 #: Blocks that are read before the k-th best cosine so far rules others out.
 FIRST_BLOCKS = 8
-DENSE = 16
+#: Groups of similar examples that stand together.
+GROUPS = 24
+DENSE = 32
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> dict[str, int]:
-    """Terms of a text and their counts: its lower-cased words, and the first letters of the longer ones, which unite inflected forms."""
-    out = dict(Counter(_WORD.findall((text or "").lower())))
-    for w, n in [x for x in out.items() if len(x[0]) > PREFIX]:
-        start = w[:PREFIX] + "*"
-        out[start] = out.get(start, 0) + n
-    return out
+    """Terms of a text, its lower-cased words, and their counts."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 class Index:
-    """Block-max inverted index over unit vectors given as (terms, weights), terms ascending, of ``n_terms`` terms.
+    """Block-max inverted index over unit vectors given as (terms, weights) of ``n_terms`` terms.
 
     A list of a term in a block is its postings there. Lists of terms that more than one example in DENSE holds are kept as
     one weight for each example of the block, the others as (example, weight).
@@ -68,20 +65,19 @@ class Index:
         order = np.lexsort((example, cell))
         #: A list for each other term and block that have one: cells ascending, where each begins, its largest weight.
         cells, starts = np.unique(cell[order], return_index=True)
-        self.starts = np.append(starts, len(order)).astype(np.int32)
-        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.starts = np.append(starts, len(order))
+        self.example, self.weight = example[order], weight[order].astype(np.float64)
         self.top = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0, np.float32)
-        self.of_term = np.searchsorted(cells, np.arange(n_terms + 1) * self.blocks).astype(np.int32)
-        self.block_of = (cells % self.blocks).astype(np.int32)
+        self.of_term = np.searchsorted(cells, np.arange(n_terms + 1) * self.blocks)
+        self.block_of = cells % self.blocks
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, work: dict | None = None) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties to the smaller position; exact. ``work`` gets the numbers of postings read and there."""
-        weights = weights.astype(np.float32)
         rows = self.row[terms]
         other = rows < 0
         lo, hi = self.of_term[terms[other]], self.of_term[terms[other] + 1]
         lists, q = _ranges(lo, hi), np.repeat(weights[other], hi - lo)
-        rows, often = rows[~other], weights[~other]
+        rows, often = rows[~other], weights[~other].astype(np.float32)
         block = self.block_of[lists]
         bound = np.bincount(block, q * self.top[lists], self.blocks) + often @ self.dense_top[rows]
         order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
@@ -118,7 +114,7 @@ class Index:
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """All numbers of the ranges [lo, hi), one after another."""
     size = hi - lo
-    return np.arange(size.sum(), dtype=np.int32) + np.repeat((lo - np.cumsum(size) + size).astype(np.int32), size)
+    return np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
 
 
 class Model:
@@ -130,8 +126,7 @@ class Model:
         told = _telling(examples, self.terms)
         self.weights = np.array([math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1 for w in names]) * told if names else np.zeros(0)
         vectors = [self.vector(tf) for _, tf, _ in examples]
-        # Examples that share their heaviest term stand together, so that few blocks have high bounds.
-        order = sorted(range(len(examples)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
+        order = _alike(vectors, len(names))
         self.ids, self.labels = [examples[i][0] for i in order], np.array([examples[i][2] for i in order], np.int64)
         vectors = [vectors[i] for i in order]
         self.index = Index(vectors, len(names))
@@ -147,10 +142,10 @@ class Model:
         self.rates = _monotone(((votes[:, 0] + 2 * middle) / (votes[:, 1] + 2)).tolist(), (votes[:, 1] + 2).tolist())
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms ascending, and their unit TF-IDF weights."""
+        """Known terms, and their unit TF-IDF weights."""
         get = self.terms.get
-        known = np.array([(t, n) for w, n in tf.items() if (t := get(w)) is not None], np.int64).reshape(-1, 2)
-        terms, n = known[known[:, 0].argsort()].T
+        known = [(t, n) for w, n in tf.items() if (t := get(w)) is not None]
+        terms, n = np.array([t for t, _ in known], np.int64), [n for _, n in known]
         w = (1 + np.log(n)) * self.weights[terms]
         return terms, w / (np.sqrt((w * w).sum()) or 1)
 
@@ -168,6 +163,29 @@ class Model:
         return float(self.rates[lo] + (x - lo) * (self.rates[lo + 1] - self.rates[lo])), [(self.ids[i], s) for s, i in near]
 
 
+def _alike(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, groups: int = GROUPS, rounds: int = 8) -> list[int]:
+    """An order of the vectors in which similar ones stand together, so that few blocks have high bounds for a text.
+
+    Groups come from k-means by cosine over the terms that occur most often; in a group vectors go by their heaviest term.
+    """
+    often = np.argsort(-np.bincount(np.concatenate([t for t, _ in vectors]), minlength=n_terms), kind="stable")[:4096] if vectors else np.zeros(0, np.int64)
+    place = np.full(n_terms, -1)
+    place[often] = np.arange(len(often))
+    x = np.zeros((len(vectors), len(often)), np.float32)
+    for i, (t, w) in enumerate(vectors):
+        x[i, place[t[place[t] >= 0]]] = w[place[t] >= 0]
+    groups = min(groups, len(vectors))
+    centre = x[np.linspace(0, len(vectors) - 1, groups).astype(int)] if groups else x
+    own = np.zeros(len(vectors), np.int64)
+    for _ in range(rounds if groups else 0):
+        own = (x @ centre.T).argmax(axis=1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, own, x)
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    heaviest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+    return sorted(range(len(vectors)), key=lambda i: (own[i], heaviest[i], i))
+
+
 def _telling(examples: list[tuple[int, dict[str, int], int]], terms: dict[str, int]) -> np.ndarray:
     """Per term LEAST_WEIGHT to 1, by the chi-squared value of its document counts under both labels."""
     seen = np.zeros((2, len(terms)))
@@ -235,7 +253,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for t in batch.column(0).slice(at, 256).to_pylist():
-                    seen.update(vocabulary.intersection(words(t)))
+                    seen.update(vocabulary.intersection(_WORD.findall((t or "").lower())))
                     n += 1
         seen[""] = n
         yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
