@@ -379,9 +379,13 @@ def test_encoder_reads_the_files_settings():
     assert not packing.splits_at_blanks(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
 
 
-def test_encoder_equals_tokenizer():
+def test_encoder_equals_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CHECKED", 20)
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = packing.Encoder(path)
+    assert e.ranks is not None and packing.as_ranks(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))) is None
     r, letters = random.Random(1), "ab 'sStT  \n\t0123_-é ñ·»\xa0½² 'llαя中<|endoftext|>\x1c\x85ªµ́"
     for _ in range(1500):
         t = "".join(r.choice(letters) for _ in range(r.randint(0, 40)))
