@@ -77,6 +77,18 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def give_back() -> None:
+    """At the end of a task, memory that the worker has freed goes back to the system: workers live on and share it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, setup: Callable[[], Callable[..., Iterable[tuple]]], rows: int = 4096, size: int = 8 << 20) -> DataFrame:
     """Run ``setup()(*row)`` for each row and emit the tuples it gives.
 
@@ -106,5 +118,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, setup: Callable[[], Call
                             out, held = [], 0
         if out:
             yield made()
+        fn, out = None, []
+        give_back()
 
     return df.mapInArrow(run, schema)

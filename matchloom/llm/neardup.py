@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from matchloom.llm.common import counted_stage, map_rows, stage
+from matchloom.llm.common import counted_stage, give_back, map_rows, stage
 
 WORDS = 5
 VALUES = 128
@@ -169,6 +169,8 @@ def _by_region(rows: DataFrame, schema: str, fn) -> DataFrame:
             rest = table.slice(keep).combine_chunks()
         if rest is not None and rest.num_rows:
             yield from pairs(rest)
+        rest = None
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

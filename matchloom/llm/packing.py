@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from matchloom.llm.common import map_rows, stage
+from matchloom.llm.common import give_back, map_rows, stage
 
 CAPACITY = 1024
 END = 2
@@ -327,6 +327,7 @@ def _look_up(ranked: DataFrame, keys: np.ndarray, base: np.ndarray, offsets: np.
             k = np.searchsorted(keys, (length.astype(np.int64) << 44) + rank, side="right") - 1
             t = t.drop_columns(["rank"]).append_column("sequence_id", pa.array(base[k] + rank)).append_column("offset", pa.array(offsets[k]))
             yield from t.to_batches()
+        give_back()
 
     return ranked.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from matchloom.llm.common import map_rows, stage
+from matchloom.llm.common import give_back, map_rows, stage
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", "crf")
 #: Bounds of the fit: texts, windows of each kind that a text gives, windows in training, tokens of a window, steps.
 SAMPLE_TEXTS, WINDOWS_OF_TEXT, WINDOWS, WINDOW, STEPS = 1_000, 2, 2_000, 20, 60
 #: Words whose scores a worker keeps.
-CACHE, LONG_WORD = 200_000, 64
+CACHE, LONG_WORD = 100_000, 64
 _TOKEN = re.compile(r"[\w+/\-]+(?:\.[\w+/\-]+)*=*|[^\w\s]")
 _CREDENTIAL = ("pass", "secret", "token", "key", "auth", "cred", "login", "bearer", "sign")
 _PREFIXED = re.compile(r"[A-Za-z]{2,6}[_-](?=[\w\-]{12,})")
@@ -552,6 +552,7 @@ def redact(docs: DataFrame, model: Crf, mark: str = "[SECRET]") -> DataFrame:
                 texts = [one(t) for t in part.column(where).to_pylist()]
                 columns = [pa.array(texts, arrow.field(where).type) if i == where else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -17,7 +17,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from matchloom.llm.common import map_rows
+from matchloom.llm.common import give_back, map_rows
 
 #: Bounds of the fit: labelled examples, and characters of all of them together.
 EXAMPLES = 2_000
@@ -257,6 +257,8 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[st
                     n += 1
         seen[""] = n
         yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
+        seen.clear()
+        give_back()
 
     got = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {r["word"]: r["n"] for r in got}
