@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchloom.llm import langid, neardup, packing, queries, secrets, toxicity
-from matchloom.llm.common import read, stage
+from matchloom.llm.common import give_back, read, stage
 
 #: The columns that every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -91,6 +91,8 @@ def _kept(docs: DataFrame, setup, test) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield part.filter(pa.array([bool(test(model, t)) for t in part.column(1).to_pylist()], pa.bool_()))
+        model = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
