@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from matchloom.functions.text import let
+
 
 def as_doubles(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
@@ -19,7 +21,7 @@ def norm(c: Column) -> Column:
 
 def unit(c: Column) -> Column:
     """L2-normalised; a zero vector stays zero."""
-    return F.transform(c, lambda x: x / F.greatest(norm(c), F.lit(1e-12)))
+    return let(F.greatest(norm(c), F.lit(1e-12)), lambda n: F.transform(c, lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -39,11 +39,12 @@ def final_matches(scored: DataFrame, exclusions: DataFrame, summaries: DataFrame
     out = out.join(summaries.dropDuplicates(["patient_id"]), "patient_id", "left")
     out = out.join(spaces.drop("trial_id").dropDuplicates(["space_trial_id"]), "space_trial_id", "left")
     out = out.join(trials.dropDuplicates(["trial_id"]), "trial_id", "left")
+    # Names and order of the result's columns.
     names = {
         "exclusion_criteria_pass": "passes_exclusion_criteria", "cancer_history_summary": "patient_summary", "general_exclusion_criteria_evidence": "patient_exclusion_evidence",
         "brief_summary": "trial_brief_summary", "eligibility_criteria": "trial_eligibility_criteria", "clinical_space_summary": "matched_clinical_space_summary",
         "general_exclusion_criteria": "extracted_trial_exclusion_criteria",
     }
     out = out.withColumnsRenamed(names)
-    order = ["patient_id", "trial_id", "oncore_id", "match_rank", "passes_exclusion_criteria", "patient_summary", "patient_exclusion_evidence", "trial_title", "trial_brief_summary", "detailed_summary", "trial_eligibility_criteria", "clinical_space_number", "matched_clinical_space_summary", "extracted_trial_exclusion_criteria"]
+    order = ["patient_id", "trial_id", "match_rank", "passes_exclusion_criteria", "patient_summary", "patient_exclusion_evidence", "trial_title", "trial_brief_summary", "trial_eligibility_criteria", "clinical_space_number", "matched_clinical_space_summary", "extracted_trial_exclusion_criteria"]
     return out.select(*(c for c in order if c in out.columns))

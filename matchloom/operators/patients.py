@@ -97,9 +97,10 @@ def chunk_notes(notes: DataFrame, size: int = 10000, overlap: int = 500, tokens:
     whole = whole.withColumn("t", tokens(F.col("text")))
     n = F.size("t")
     count = F.when(n <= size, 1).otherwise(F.ceil((n - overlap) / F.lit(stride)).cast("int"))
-    cut = whole.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_index"))
-    text = F.when(F.col("n") <= size, F.col("text")).otherwise(F.array_join(F.slice("t", F.col("chunk_index") * stride + 1, F.lit(size)), joiner))
-    cut = cut.select("patient_id", "chunk_index", "n", "d0", "d1", text.alias("chunk_text"))
+    # Windows are cut before they become rows, so that no row carries the whole text.
+    window = lambda i: F.array_join(F.slice("t", i * stride + 1, F.lit(size)), joiner)
+    texts = F.when(n <= size, F.array("text")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), window))
+    cut = whole.select("patient_id", n.alias("n"), "d0", "d1", F.posexplode(texts).alias("chunk_index", "chunk_text"))
     dates = F.regexp_extract_all("chunk_text", F.lit(_HEADER_DATE), F.lit(1))
     cut = cut.withColumn("own", dates)
     before = F.last(F.when(F.size("own") > 0, F.element_at("own", -1)), ignorenulls=True).over(Window.partitionBy("patient_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0))
