@@ -97,6 +97,11 @@ def _patient_qc() -> str:
     return _report(parts, _SUMMARIES)
 
 
+_PAIRS = """pairs as (select source patient_id, 'T' || doc_id % 40 || '-' || doc_id % 3 space_trial_id from documents),
+    sources as (select distinct source patient_id, 'evidence of ' || source said from documents where source <> 'src1'),
+    spaces as (select 'T' || page_id || '-1' space_trial_id, 'T' || page_id trial_id, url rule from pages where page_id < 30)"""
+
+
 def oracle_sql() -> dict[str, str]:
     answers = "list_value('Fine.' || chr(10) || '**Final score: 4**', 'final Score:9', 'overall SCORE - 3', 'this is not a reasonable match', 'no verdict', 'x Final  score : 07 and so on')[(doc_id + quality) % 6 + 1]"
     verdicts = "list_value('So: Yes!', 'In the end No!', 'yes', 'UNKNOWN', '?', 'Yes! But no!')[(doc_id + toxic) % 6 + 1]"
@@ -145,6 +150,13 @@ def oracle_sql() -> dict[str, str]:
         "llm_exclusion_parse": f"""with r as (select doc_id, upper(right({verdicts}, 10)) t from labels),
             s as (select doc_id, case when contains(t, 'YES!') then 'YES' when contains(t, 'NO!') then 'NO' when contains(t, 'YES') then 'YES_FALLBACK' when contains(t, 'NO') then 'NO_FALLBACK' else 'PARSE_FAILED' end verdict from r)
             select doc_id, case when starts_with(verdict, 'YES') then false when starts_with(verdict, 'NO') then true end passed, verdict from s""",
+        "csv_round_trip": "select doc_id::varchar doc_id, text, lang from documents",
+        "parquet_round_trip": "select page_id, url, html from pages",
+        "context_pairs": f"with {_PAIRS} select patient_id, space_trial_id, said general_exclusion_criteria_evidence, rule general_exclusion_criteria from pairs left join sources using (patient_id) left join spaces using (space_trial_id)",
+        "exclusion_context": f"with {_PAIRS}, p as (select distinct patient_id, split_part(space_trial_id, '-', 1) trial_id from pairs) select patient_id, trial_id, said general_exclusion_criteria_evidence, rule general_exclusion_criteria from p left join sources using (patient_id) left join spaces using (trial_id)",
+        "vector_literal": "select doc_id, 3 n, doc_id + 0.5::double a, n_chars::double b, null::double c from documents",
+        "drift": f"select round(avg(c), 5) mean_cosine, count(*) n, avg(c) >= 0.8 passed from (select round(list_cosine_similarity(e, list_reverse(e)), 6) c from ({_V}))",
+        "drift_worst": f"select vec_id, round(list_cosine_similarity(e, list_reverse(e)), 6) cosine from ({_V}) order by 2, 1 limit 5",
         "final_matches": final,
         "trial_qc": _trial_qc(),
         "patient_qc": _patient_qc(),

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from matchloom.functions import parse
+from matchloom.functions import parse, vector
 from matchloom.operators import assemble, evaluate, matching, patients, qc, trials
 from matchloom.plans.pipeline import MatchingPipeline
+from matchloom.sources import staging, tables
 
 MARKER = "Boilerplate exclusions"
 
@@ -230,10 +231,61 @@ def matching_flow(s: SparkSession, d: str) -> DataFrame:
     return MatchingPipeline().run(pages, _notes(s, d))
 
 
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    path = staging.scratch(s, "csv")
+    tables.write_csv(read(s, d, "documents").select("doc_id", "text", "lang"), path)
+    return tables.read_csv(s, path, ["doc_id", "text", "lang"])
+
+
+def parquet_round_trip(s: SparkSession, d: str) -> DataFrame:
+    path = staging.scratch(s, "parquet")
+    tables.write_parquet(read(s, d, "pages").select("page_id", "url", "html"), path)
+    return tables.read_parquet(s, path)
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    """A patient for each source, a space for each document."""
+    return read(s, d, "documents").select(F.col("source").alias("patient_id"), F.concat(F.lit("T"), F.col("doc_id") % 40, F.lit("-"), F.col("doc_id") % 3).alias("space_trial_id"))
+
+
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("evidence of "), F.col("source"))
+    return read(s, d, "documents").where("source <> 'src1'").select(F.col("source").alias("patient_id"), said.alias("general_exclusion_criteria_evidence")).distinct()
+
+
+def _page_spaces(s: SparkSession, d: str) -> DataFrame:
+    trial = F.concat(F.lit("T"), F.col("page_id"))
+    return read(s, d, "pages").where("page_id < 30").select(F.concat(trial, F.lit("-1")).alias("space_trial_id"), trial.alias("trial_id"), F.col("url").alias("general_exclusion_criteria"))
+
+
+def context_pairs(s: SparkSession, d: str) -> DataFrame:
+    return assemble.with_context(_pairs(s, d), _sources(s, d), _page_spaces(s, d).drop("trial_id"))
+
+
+def exclusion_context(s: SparkSession, d: str) -> DataFrame:
+    return assemble.exclusion_pairs(assemble.trial_of_space(_pairs(s, d)), _sources(s, d), _page_spaces(s, d))
+
+
+def vector_literal(s: SparkSession, d: str) -> DataFrame:
+    literal = F.concat(F.lit("["), F.col("doc_id"), F.lit(".5 "), F.col("n_chars"), F.lit(",  x]"))
+    made = read(s, d, "documents").select("doc_id", vector.parse_vector(literal).alias("v"))
+    return made.select("doc_id", F.size("v").alias("n"), *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate("abc")))
+
+
+def drift(s: SparkSession, d: str) -> DataFrame:
+    gate = evaluate.drift_gate(embedding_similarity(s, d))
+    return gate.select(F.round("mean_cosine", 5).alias("mean_cosine"), "n", "passed")
+
+
+def drift_worst(s: SparkSession, d: str) -> DataFrame:
+    found = embedding_similarity(s, d)
+    return evaluate.worst(found, found.columns[0])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         candidate_topk, candidate_all, best_match_bidirectional, embedding_similarity, match_consistency, match_consistency_summary, trial_text, trial_spaces, trial_spaces_unfiltered,
         note_dedup, note_chunks, incremental_notes, prior_state, serial_fold, summary_split, summary_clean, quality_score, exclusion_label, llm_score_parse, llm_exclusion_parse,
-        final_matches, trial_qc, patient_qc, token_limit, verdict_counts, matching_flow,
+        final_matches, trial_qc, patient_qc, token_limit, verdict_counts, csv_round_trip, parquet_round_trip, context_pairs, exclusion_context, vector_literal, drift, drift_worst, matching_flow,
     )
     return {f.__name__: f for f in own}

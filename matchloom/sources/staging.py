@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder. Where none is set, a local master gets a temporary one; on a cluster it raises."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="matchloom-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the checkpoint folder, which driver and executors share."""
+    return f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder. Where none is set, a local master gets a temporary one; on a cluster it raises."""
+    _folder(df.sparkSession)
     return df.checkpoint()
