@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from matchloom.config import Config, load_preset
 from matchloom.operators import assemble, matching, models, patients, trials
+from matchloom.sources.staging import checkpointed
 
 
 @dataclass
@@ -20,9 +21,9 @@ class MatchingPipeline:
     k: int = 20
 
     def run(self, trial_table: DataFrame, notes: DataFrame, existing_summaries: DataFrame | None = None, as_of=None) -> DataFrame:
-        """Ranked matches of patients with trials."""
-        spaces = trials.summarize_trials(trial_table, config=self.config, generate=self.trial_model).persist()
-        summaries = patients.summarize_patients(notes, config=self.config, existing_summaries=existing_summaries, generate=self.patient_model, as_of=as_of).persist()
+        """Ranked matches of patients with trials. Model outputs are checkpointed, so that a lost executor does not run models again."""
+        spaces = checkpointed(trials.summarize_trials(trial_table, config=self.config, generate=self.trial_model))
+        summaries = checkpointed(patients.summarize_patients(notes, config=self.config, existing_summaries=existing_summaries, generate=self.patient_model, as_of=as_of))
         found = matching.candidates(matching.embed_for_matching(summaries, entity_type="patient"), matching.embed_for_matching(spaces, entity_type="trial"), k=self.k)
         pairs = assemble.with_context(found, summaries, spaces)
         scored = matching.score_match_quality(pairs.withColumn("_raw", F.col("similarity_score") * 4 - 2), raw="_raw", config=self.config)

@@ -202,7 +202,7 @@ def _flat(report: DataFrame) -> DataFrame:
 
 def trial_qc(s: SparkSession, d: str) -> DataFrame:
     answers = _answers(s, d)
-    unfiltered = trials.expand_spaces(answers, MARKER)
+    unfiltered = staging.checkpointed(trials.expand_spaces(answers, MARKER))  # three aggregates read it
     spaces = trials.keyword_filter(unfiltered).withColumnRenamed("boilerplate_text", "general_exclusion_criteria").withColumn("space_trial_id", trials.space_id())
     source = read(s, d, "orders").select(F.col("o_orderkey").alias("trial_id"))
     truncated = qc.artifact(read(s, d, "orders").where("o_totalprice > 400000"), "trials_truncated", "o_orderkey", source.agg(F.count(F.lit(1)).alias("denominator")))
@@ -210,7 +210,7 @@ def trial_qc(s: SparkSession, d: str) -> DataFrame:
 
 
 def patient_qc(s: SparkSession, d: str) -> DataFrame:
-    split = patients.split_summary(_summaries(s, d), "Boilerplate conditions:")
+    split = staging.checkpointed(patients.split_summary(_summaries(s, d), "Boilerplate conditions:"))  # four reads
     kept, said = patients.informative(split)
     gone = said.join(kept.select("patient_id"), "patient_id", "left_anti")
     dropped = qc.artifact(gone, "patients_dropped_noninformative_summary", "patient_id", said.agg(F.count_distinct("patient_id").alias("denominator")))
