@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchloom.functions import vector
 from matchloom.functions.schema import require_columns
 
+#: Vectors of a key in a block.
+BLOCK = 4096
+
 
 def match_consistency(a: DataFrame, b: DataFrame, *, patient: str = "patient_id", trial: str = "trial_id", rank: str = "rank", score: str = "similarity_score") -> DataFrame:
     """Per patient of either run: sizes, Jaccard, top-5 and top-10 overlap, top-1 agreement, mean top-5 scores. Ties in rank go to the smaller trial id."""
@@ -74,10 +80,50 @@ def worst(similarity: DataFrame, key: str, n: int = 5) -> DataFrame:
 def best_match_both_ways(a: DataFrame, b: DataFrame, key: str = "trial_id") -> DataFrame:
     """Per shared key: mean over a's vectors of the best cosine in b, the same from b to a, and their mean.
 
-    ``a`` and ``b`` have key, id and embedding. Norms are taken once per row, before the join within keys.
+    ``a`` and ``b`` have key, id and embedding. Norms are taken once per row. Blocks of at most about BLOCK vectors of a key
+    and length are multiplied, and only the best of each row and column leaves a block, so no pair becomes a row. Vectors
+    that are null, hold null or have no vector of their length on the other side count, but without a best cosine.
     """
-    side = lambda df, at: df.select(key, F.col("id").alias(f"i{at}"), vector.unit(vector.as_doubles(F.col("embedding"))).alias(f"v{at}"))
-    pairs = side(a, "a").join(side(b, "b"), key).select(key, "ia", "ib", vector.dot(F.col("va"), F.col("vb")).alias("s"))
-    one = pairs.groupBy(key, "ia").agg(F.max("s").alias("s")).groupBy(key).agg(F.avg("s").alias("pkg_to_gold"), F.count(F.lit(1)).alias("n_pkg_spaces"))
-    two = pairs.groupBy(key, "ib").agg(F.max("s").alias("s")).groupBy(key).agg(F.avg("s").alias("gold_to_pkg"), F.count(F.lit(1)).alias("n_gold_spaces"))
-    return one.join(two, key).select(key, "n_pkg_spaces", "n_gold_spaces", "pkg_to_gold", "gold_to_pkg", ((F.col("pkg_to_gold") + F.col("gold_to_pkg")) / 2).alias("trial_score"))
+
+    def side(df: DataFrame, own: str) -> DataFrame:
+        v = vector.unit(vector.as_doubles(F.col("embedding")))
+        whole = df.select(F.col(key).alias("k"), F.col("id").alias(own), v.alias("v"))
+        return whole.withColumn("d", F.when(~F.exists("v", lambda x: x.isNull()), F.size("v")))
+
+    x, y = side(a, "ia"), side(b, "ib")
+    tagged = lambda df, first: df.select("k", "d", F.lit(first).alias("first"))
+    blocks = lambda test: F.ceil(F.count_if(test) / BLOCK).cast("int")
+    many = tagged(x, True).unionByName(tagged(y, False)).where(F.col("d").isNotNull()).groupBy("k", "d").agg(blocks(F.col("first")).alias("na"), blocks(~F.col("first")).alias("nb"))
+    many = many.where("na > 0 and nb > 0")
+
+    def dealt(df: DataFrame, own: str, mine: str, other: str):
+        spread = df.join(many, ["k", "d"]).withColumn(mine, F.pmod(F.xxhash64(own, "v"), F.col(f"n{mine}")).cast("int"))
+        return spread.select("k", "d", own, "v", mine, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)).alias(other)).groupBy("k", "d", "a", "b")
+
+    types = {"k": x.schema["k"].dataType, "first": T.BooleanType(), "ia": x.schema["ia"].dataType, "ib": y.schema["ib"].dataType, "s": T.DoubleType()}
+    schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
+    arrow = to_arrow_schema(schema)
+
+    def cell(p: pa.Table, q: pa.Table) -> pa.Table:
+        if not p.num_rows or not q.num_rows:
+            return arrow.empty_table()
+        u, v = (t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, t.column("d")[0].as_py()) for t in (p, q))
+        rows, columns = np.empty(len(u)), np.full(len(v), -np.inf)
+        with np.errstate(invalid="ignore"):
+            for at in range(0, len(u), 256):
+                s = u[at : at + 256] @ v.T
+                rows[at : at + 256] = s.max(axis=1)
+                columns = np.maximum(columns, s.max(axis=0))
+        one = [p.column("k"), pa.repeat(True, len(u)), p.column("ia"), pa.nulls(len(u), arrow.field("ib").type), pa.array(rows)]
+        two = [q.column("k"), pa.repeat(False, len(v)), pa.nulls(len(v), arrow.field("ia").type), q.column("ib"), pa.array(columns)]
+        return pa.concat_tables([pa.table(one, schema=arrow), pa.table(two, schema=arrow)])
+
+    best = dealt(x, "ia", "a", "b").cogroup(dealt(y, "ib", "b", "a")).applyInArrow(cell, schema)
+    nothing = lambda n: F.lit(None).cast(types[n]).alias(n)
+    best = best.unionByName(x.select("k", "ia", nothing("ib"), nothing("s"), F.lit(True).alias("first"))).unionByName(y.select("k", nothing("ia"), "ib", nothing("s"), F.lit(False).alias("first")))
+    first, per = F.col("first"), best.where(F.col("k").isNotNull()).groupBy("k", "first", "ia", "ib").agg(F.max("s").alias("s"))
+    out = per.groupBy(F.col("k").alias(key)).agg(
+        F.count_if(first).alias("n_pkg_spaces"), F.count_if(~first).alias("n_gold_spaces"),
+        F.avg(F.when(first, F.col("s"))).alias("pkg_to_gold"), F.avg(F.when(~first, F.col("s"))).alias("gold_to_pkg"),
+    )
+    return out.where("n_pkg_spaces > 0 and n_gold_spaces > 0").withColumn("trial_score", (F.col("pkg_to_gold") + F.col("gold_to_pkg")) / 2)

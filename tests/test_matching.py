@@ -187,3 +187,30 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from folded").collect()] == [("a", "2024-01-01", "x+y")]
+
+
+def test_best_match_both_ways_in_blocks(spark, monkeypatch):
+    """Blocks give what all pairs give; odd vectors count without a best cosine; no pair becomes a row."""
+    monkeypatch.setattr(evaluate, "BLOCK", 7)
+    rows = [(k % 3, k, [float((k * j) % 11 - 5) for j in range(1, 5)]) for k in range(60)]
+    rows += [(0, 100, None), (0, 101, [1.0, None, 2.0, 3.0]), (1, 102, [1.0]), (None, 103, [1.0, 2.0, 3.0, 4.0]), (0, 0, [9.0, 1.0, 0.0, 2.0])]
+    other = [(k, f"g{i}", None if v is None else v[::-1]) for k, i, v in rows if i not in (1, 4)] + [(9, "alone", [1.0])]
+    schema = "trial_id int, id {}, embedding array<double>"
+    out = evaluate.best_match_both_ways(spark.createDataFrame(rows, schema.format("int")), spark.createDataFrame(other, schema.format("string")))
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().toString()
+
+    def best(own, others):
+        found = {}
+        for k, i, v in own:
+            s = [sum(x * y for x, y in zip(v, w)) / math.hypot(*v) / math.hypot(*w) for kk, _, w in others if kk == k and v and w and None not in v and None not in w and len(v) == len(w)]
+            found.setdefault(k, {}).setdefault(i, []).extend(s)
+        return {k: (len(x), sum(h := [max(s) for s in x.values() if s]) / len(h)) for k, x in found.items() if k in (0, 1, 2)}
+
+    there, back, got = best(rows, other), best(other, rows), {r.trial_id: r for r in out.collect()}
+    assert set(got) == {0, 1, 2}
+    for k, r in got.items():
+        assert (r.n_pkg_spaces, r.n_gold_spaces) == (there[k][0], back[k][0])
+        assert r.pkg_to_gold == pytest.approx(there[k][1]) and r.gold_to_pkg == pytest.approx(back[k][1])
+        assert r.trial_score == pytest.approx((there[k][1] + back[k][1]) / 2)
+    same = spark.createDataFrame(rows[:60], schema.format("int"))
+    assert [round(r.trial_score, 9) for r in evaluate.best_match_both_ways(same, same.withColumn("embedding", F.col("embedding"))).collect()] == [1.0] * 3
