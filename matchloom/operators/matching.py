@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchloom.config import Config, load_preset
@@ -17,6 +18,9 @@ ENTITIES = {"patient": ("patient_id", "cancer_history_summary"), "trial": ("spac
 #: Rows of a block of queries or candidates; the most bytes of candidate vectors that strategy "expression" broadcasts.
 BLOCK = 4096
 BROADCAST_BYTES = 16 << 20
+#: The most bytes of corpus vectors that each task holds where all pairs are asked for; rows of a batch of pairs.
+CORPUS_BYTES = 128 << 20
+PAIR_ROWS = 1 << 16
 QUALITY_TEMPLATE = "Profile: {space}\nSubject: {patient}"
 EXCLUSION_TEMPLATE = "Subject: {evidence}\nExclusions: {criteria}"
 LLM_QUALITY_TEMPLATE = "Profile:\n{trial_summary}\nSubject:\n{patient_summary}\nEnd with the line: Final score: 0 to 5"
@@ -49,7 +53,9 @@ def candidates(query: DataFrame, corpus: DataFrame, *, k: int | None = 20, strat
 
     All for k None. Ties go to the smaller corpus id. "block" multiplies blocks of normalised vectors and keeps k rows a block
     and query, so no pair is shuffled beyond those; "expression" stays in the JVM and broadcasts the corpus, which it checks
-    to be small. Same ids on both sides, repeated ids, null vectors and vectors of several lengths raise.
+    to be small. Where all pairs are asked for, "block" gives whole queries to tasks that hold the corpus, rank there and
+    emit batch by batch, so no pair is shuffled at all; a corpus above CORPUS_BYTES is ranked by a shuffle of the pairs.
+    Same ids on both sides, repeated ids, null vectors and vectors of several lengths raise.
     """
     if k is not None and k <= 0:
         raise ValueError("k must be positive")
@@ -74,6 +80,8 @@ def candidates(query: DataFrame, corpus: DataFrame, *, k: int | None = 20, strat
             raise ValueError("the corpus is too large for strategy 'expression'; use 'block'")
         a, b = left.withColumn("qv", vector.unit(F.col("qv"))), right.withColumn("cv", vector.unit(F.col("cv")))
         pairs = a.crossJoin(F.broadcast(b)).select(q, c, vector.dot(F.col("qv"), F.col("cv")).alias("similarity_score"))
+    elif k is None and stats[1]["n"] * (stats[1]["hi"] or 0) * 8 <= CORPUS_BYTES:
+        return _rows(left, right, q, c, stats[0]["n"], all("array<float>" in dict(df.dtypes)["embedding"] for df in (query, corpus)))
     else:
         pairs = _blocks(left, right, q, c, k, stats[0]["n"], stats[1]["n"])
     ranked = pairs.withColumn("rank", F.row_number().over(order))
@@ -113,6 +121,69 @@ def _blocks(left: DataFrame, right: DataFrame, q: str, c: str, k: int | None, n:
     return a.cogroup(b).applyInArrow(cell, f"{q} string, {c} string, similarity_score double")
 
 
+def _rows(left: DataFrame, right: DataFrame, q: str, c: str, n: int, floats: bool) -> DataFrame:
+    """All pairs with their rank. Each task gets its share of the queries and a copy of the corpus, as floats if it came so."""
+    parts = max(1, min(n, 2 * left.sparkSession.sparkContext.defaultParallelism))
+    ship = lambda v: F.transform(v, lambda x: x.cast("float")) if floats else F.col(v)
+    asked = left.select(F.pmod(F.xxhash64(q), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("asked"), F.col(q).alias("id"), ship("qv").alias("v"))
+    held = right.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asked"), F.col(c).alias("id"), ship("cv").alias("v"))
+    schema = pa.schema([(q, pa.string()), (c, pa.string()), ("similarity_score", pa.float64()), ("rank", pa.int32())])
+
+    def units(flat: np.ndarray) -> np.ndarray:
+        flat = flat.astype(np.float64)
+        return flat / np.maximum(np.sqrt((flat * flat).sum(axis=1, keepdims=True)), 1e-12)
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        flat = t.column("v").combine_chunks().flatten().to_numpy()
+        flat, asks = flat.reshape(t.num_rows, len(flat) // t.num_rows), t.column("asked").to_numpy()
+        names = t.column("id").combine_chunks()
+        own, rest = np.flatnonzero(asks), np.flatnonzero(~asks)
+        rest = rest[pc.sort_indices(names.take(pa.array(rest)), null_placement="at_start").to_numpy()]
+        if not len(own) or not len(rest):
+            return
+        qi, ci, u = names.take(pa.array(own)), names.take(pa.array(rest)), units(flat[own])
+        # Copies of a vector are multiplied once, so that they tie exactly and go by their ids.
+        rows = np.ascontiguousarray(flat[rest])
+        kind = np.unique(rows.view(np.dtype((np.void, max(1, rows.itemsize * rows.shape[1])))).ravel(), return_index=True, return_inverse=True)[1:] if rows.shape[1] else (np.zeros(1, int), np.zeros(len(rows), int))
+        v, of = units(rows[kind[0]]).T, kind[1].ravel()
+        members, counts = np.argsort(of, kind="stable"), np.bincount(of)
+        starts, rank = np.cumsum(counts) - counts, np.arange(1, len(of) + 1, dtype=np.int32)
+        del batches, t, flat, rows
+        step, out, waits = max(1, (2 << 20) // len(counts)), [], 0
+
+        def batch() -> pa.RecordBatch:
+            i, j, s, r = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([qi.take(pa.array(i)), ci.take(pa.array(j)), pa.array(s), pa.array(r)], schema=schema)
+
+        for at in range(0, len(u), step):
+            for i, s in enumerate(u[at : at + step] @ v, at):
+                key = np.where(np.isnan(s), -np.inf, -s)  # Spark takes NaN as the largest
+                order = np.argsort(key)
+                if (key[order[1:]] == key[order[:-1]]).any():
+                    j = np.argsort(key[of], kind="stable")
+                elif len(counts) == len(of):
+                    j = members[order]
+                else:
+                    n = counts[order]
+                    j = members[np.repeat(starts[order] - (np.cumsum(n) - n), n) + np.arange(len(of))]
+                s = s[of[j]]
+                for a in range(0, len(j), PAIR_ROWS):
+                    part = slice(a, a + PAIR_ROWS)
+                    out.append((np.full(len(j[part]), i), j[part], s[part], rank[part]))
+                    waits += len(j[part])
+                    if waits >= PAIR_ROWS:
+                        yield batch()
+                        out, waits = [], 0
+        if out:
+            yield batch()
+
+    return asked.unionByName(held).repartitionById(parts, "part").mapInArrow(run, f"{q} string, {c} string, similarity_score double, rank int")
+
+
 def score_match_quality(pairs: DataFrame, *, score: Callable[[Column], Column] | None = None, raw: str | None = None, cutoff: float | None = None, filter_low_quality: bool = True, template: str = QUALITY_TEMPLATE, config: Config | None = None) -> DataFrame:
     """patient_id, space_trial_id, match_quality_score, match_quality_pass.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from matchloom.functions import parse, vector
 from matchloom.operators import assemble, evaluate, matching, patients, qc, trials
@@ -64,9 +64,16 @@ def _verdicts(s: SparkSession, d: str) -> DataFrame:
 # ---- queries
 
 
+def _rounded(c: str) -> Column:
+    """``round(c, 6)``; decimals, which are slow, only where a value is near the middle of two."""
+    scaled = F.col(c) * 1e6
+    whole = F.rint(scaled)
+    return F.when(F.abs(scaled - whole) < 0.4999, whole / 1e6 + 0.0).otherwise(F.round(c, 6))
+
+
 def candidate_topk(s: SparkSession, d: str, k: int | None = 20) -> DataFrame:
     out = matching.candidates(_query_vectors(s, d), _corpus_vectors(s, d), k=k)
-    return out.select("patient_id", "space_trial_id", F.round("similarity_score", 6).alias("similarity_score"), F.col("rank").cast("bigint").alias("rank"))
+    return out.select("patient_id", "space_trial_id", _rounded("similarity_score").alias("similarity_score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def candidate_all(s: SparkSession, d: str) -> DataFrame:

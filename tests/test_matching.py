@@ -214,3 +214,37 @@ def test_best_match_both_ways_in_blocks(spark, monkeypatch):
         assert r.trial_score == pytest.approx((there[k][1] + back[k][1]) / 2)
     same = spark.createDataFrame(rows[:60], schema.format("int"))
     assert [round(r.trial_score, 9) for r in evaluate.best_match_both_ways(same, same.withColumn("embedding", F.col("embedding"))).collect()] == [1.0] * 3
+
+
+def test_all_candidates_without_shuffled_pairs(spark, monkeypatch):
+    """All pairs leave their task ranked; copies of a vector tie and go by id; a large corpus gives the same by a shuffle."""
+    queries = [(f"p{k}", [float(k % 5 - 2), 1.0, float(k % 3), 0.3]) for k in range(23)] + [("zero", [0.0] * 4), ("odd", [float("nan"), 1.0, 1.0, 1.0])]
+    corpus = [(f"t{k}", [float(k % 7 - 3), float(k % 4), 0.7, float(k % 2)]) for k in range(150)]
+    for kind in ("float", "double"):
+        a = spark.createDataFrame(queries, f"patient_id string, embedding array<{kind}>")
+        b = spark.createDataFrame(corpus, f"space_trial_id string, embedding array<{kind}>")
+        monkeypatch.setattr(matching, "PAIR_ROWS", 64)
+        out = matching.candidates(a, b, k=None)
+        assert "Window" not in out._jdf.queryExecution().toString()
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.patient_id, []).append((r["rank"], r.space_trial_id, r.similarity_score))
+        assert len(got) == len(queries) and [x[1] for x in sorted(got["zero"])] == [x[1] for x in sorted(got["odd"])] == sorted(c for c, _ in corpus)
+        for p, v in queries[:23]:
+            score = {c: sum(x * y for x, y in zip(v, w)) / math.hypot(*v) / math.hypot(*w) for c, w in corpus}
+            own = sorted(got[p])
+            assert [x[0] for x in own] == list(range(1, 151)) and {x[1] for x in own} == set(score)
+            assert all(s == pytest.approx(score[c], abs=1e-6) for _, c, s in own)
+            assert all(x[2] > y[2] or (x[2] == y[2] and x[1] < y[1]) for x, y in zip(own, own[1:]))
+        monkeypatch.setattr(matching, "CORPUS_BYTES", 0)
+        other = matching.candidates(a, b, k=None)
+        assert "Window" in other._jdf.queryExecution().toString() and other.count() == 25 * 150
+        monkeypatch.undo()
+
+
+def test_rounded_as_round(spark):
+    from matchloom.plans import queries as plans
+
+    values = [0.0, -0.0, 1e-7, -1e-7, 5e-7, -5e-7, 1.5e-6, 0.1234565, -0.1234565, 0.12345649999, 1.0, -1.0, float("nan"), 0.3, None]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select(plans._rounded("x").alias("a"), F.round("x", 6).alias("b"))
+    assert [str(r.a) for r in df.collect()] == [str(r.b) for r in df.collect()]
