@@ -64,7 +64,9 @@ def expand_spaces(summaries: DataFrame, marker: str) -> DataFrame:
 
 def keyword_filter(spaces: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """Spaces that contain all keywords, case-sensitively. The numbers stay, so they may have gaps."""
-    return spaces.where(F.forall(F.array(*(F.lit(k) for k in keywords or SPACE_KEYWORDS)), lambda k: F.contains("clinical_space_summary", k)))
+    for k in keywords or SPACE_KEYWORDS:
+        spaces = spaces.where(F.contains("clinical_space_summary", F.lit(k)))
+    return spaces
 
 
 def space_id() -> Column:

@@ -37,10 +37,11 @@ def _notes(s: SparkSession, d: str) -> DataFrame:
 def _answers(s: SparkSession, d: str) -> DataFrame:
     """An answer per order: its lines as numbered spaces, of which returned ones name no histology, then the marker and exclusions."""
     keys = [k for k in trials.SPACE_KEYWORDS if k != "Histology"]
-    line = F.concat(F.col("l_linenumber").cast("string"), F.lit(". " + " ".join(f"{k}:" for k in keys)), F.when(F.col("l_returnflag") == "R", "").otherwise(" Histology: any"), F.lit(" part "), F.col("l_partkey").cast("string"))
-    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("trial_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("t")))).alias("x"))
+    line = lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(". " + " ".join(f"{k}:" for k in keys)), F.when(x["r"], "").otherwise(" Histology: any"), F.lit(" part "), x["l_partkey"].cast("string"))
+    returned = F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("r")  # sorts as the texts do
+    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("trial_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", returned))).alias("x"))
     orders = read(s, d, "orders").select(F.col("o_orderkey").alias("trial_id"), "o_orderpriority", "o_orderstatus")
-    text = F.concat(F.array_join(F.transform("x", lambda x: x["t"]), "\n"), F.lit(f"\n{MARKER}:\n"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderpriority")))
+    text = F.concat(F.array_join(F.transform("x", line), "\n"), F.lit(f"\n{MARKER}:\n"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderpriority")))
     return orders.join(lines, "trial_id").select("trial_id", text.alias("space_output_no_reasoning"))
 
 
@@ -204,16 +205,16 @@ def final_matches(s: SparkSession, d: str) -> DataFrame:
 
 
 def _flat(report: DataFrame) -> DataFrame:
-    return report.select("metric", F.round("value", 6).alias("value"), "denominator", F.round("percent", 6).alias("percent"), F.array_join("ids", ",").alias("ids"))
+    return report.select("metric", F.round("value", 6).alias("value"), "denominator", F.round("percent", 6).alias("percent"), (F.col("ids") if dict(report.dtypes)["ids"] == "string" else F.array_join("ids", ",")).alias("ids"))
 
 
 def trial_qc(s: SparkSession, d: str) -> DataFrame:
-    answers = _answers(s, d)
-    unfiltered = staging.checkpointed(trials.expand_spaces(answers, MARKER))  # three aggregates read it
+    made = trials.expand_spaces(_answers(s, d), MARKER)
+    unfiltered = staging.staged(made.select("trial_id", "clinical_space_number", "clinical_space_summary", "boilerplate_text"))  # read several times
     spaces = trials.keyword_filter(unfiltered).withColumnRenamed("boilerplate_text", "general_exclusion_criteria").withColumn("space_trial_id", trials.space_id())
     source = read(s, d, "orders").select(F.col("o_orderkey").alias("trial_id"))
-    truncated = qc.artifact(read(s, d, "orders").where("o_totalprice > 400000"), "trials_truncated", "o_orderkey", source.agg(F.count(F.lit(1)).alias("denominator")))
-    return _flat(qc.trial_report(spaces, source, unfiltered, truncated, token_limit=18))
+    truncated = qc.artifact(read(s, d, "orders").where("o_totalprice > 400000"), "trials_truncated", "o_orderkey", source.agg(F.count(F.lit(1)).alias("denominator")), joined=",")
+    return _flat(qc.trial_report(spaces, source, unfiltered, truncated, token_limit=18, joined=",", stage=staging.staged))
 
 
 def patient_qc(s: SparkSession, d: str) -> DataFrame:

@@ -248,3 +248,30 @@ def test_rounded_as_round(spark):
     values = [0.0, -0.0, 1e-7, -1e-7, 5e-7, -5e-7, 1.5e-6, 0.1234565, -0.1234565, 0.12345649999, 1.0, -1.0, float("nan"), 0.3, None]
     df = spark.createDataFrame([(x,) for x in values], "x double").select(plans._rounded("x").alias("a"), F.round("x", 6).alias("b"))
     assert [str(r.a) for r in df.collect()] == [str(r.b) for r in df.collect()]
+
+
+def test_trial_report_with_joined_ids(spark):
+    """Ids as one text equal the arrays, whatever the number of runs; no aggregate gathers a metric's single ids."""
+    kept = " ".join(f"{k}:" for k in trials.SPACE_KEYWORDS)
+    rows = [(f"T{k % 400}", k // 400 + 1, "" if k == 7 else f"{kept} {k if k % 400 > 9 else 0}" if k % 3 else f"Age {k}", "None" if k % 5 == 0 else "rules") for k in range(1000)]
+    rows += [("T3", 1, kept, None), (None, 1, kept, "x")]
+    spaces = spark.createDataFrame(rows, "trial_id string, clinical_space_number int, clinical_space_summary string, general_exclusion_criteria string")
+    source = spark.createDataFrame([(f"T{k}",) for k in range(420)], "trial_id string")
+    cut, n = source.where("trial_id < 'T2'"), source.agg(F.count(F.lit(1)).alias("denominator"))
+
+    def report(**more):
+        return qc.trial_report(spaces, source, spaces, qc.artifact(cut, "trials_truncated", "trial_id", n, **more), token_limit=19, **more)
+
+    arrays, texts = {r.metric: r for r in report().collect()}, {r.metric: r for r in report(joined=",").collect()}
+    assert {m: (r.value, r.denominator, r.percent, ",".join(r.ids)) for m, r in arrays.items()} == {m: (r.value, r.denominator, r.percent, r.ids) for m, r in texts.items()}
+    want = {
+        "trials_missing_in_output": {"T7"} | {f"T{k}" for k in range(400, 420)},
+        "trials_exclusion_criteria_not_extracted": {t for t, _, _, r in rows if t and r in ("None", None)},
+        "trials_truncated": {f"T{k}" for k in range(420) if f"T{k}" < "T2"},
+        "spaces_dropped_missing_keyword:Histology": {f"{t}-{i}" for t, i, x, _ in rows if t and "Histology" not in x},
+        "spaces_exceed_embedding_token_limit": {f"{t}-{i}" for t, i, x, _ in rows if t and len(x.split()) + 1 > 19},
+        "trials_with_non_distinct_spaces": {t for t, i, x, _ in rows if t and (sum(r[0] == t and r[1] == i for r in rows) > 1 or sum(r[0] == t and r[2] == x for r in rows) > 1)},
+    }
+    for metric, ids in want.items():
+        assert arrays[metric].ids == sorted(ids) and arrays[metric].value == len(ids), metric
+    assert arrays["trials_with_non_distinct_spaces"].ids and arrays["spaces_per_trial_max"].value == 4 and arrays["spaces_per_trial_max"].denominator is None
